@@ -5,13 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialworks.llm import bpe, packing, pieces
+from vialworks.llm import bpe, names, packing, pieces, survivor
+from vialworks.operators.timestamps import normalise_timestamps
 from vialworks.sources.tables import table
 
 CAPACITY = 2048
 LIMIT, OVERLAP = 512, 64
 
 
+def _companies(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "msds_sample").select(F.col("supplier").alias("name")).unionByName(table(spark, d, "msds_overrides").select(F.col("supplierCandidate").alias("name")))
+    return names.link_names(both, "name")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.spelling_pairs(_companies(spark, d))
+
+
+def p3_companies(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with its company and the number of the company's spellings."""
+    linked = _companies(spark, d)
+    return linked.join(linked.groupBy("company").agg(F.count(F.lit(1)).alias("spellings")), "company").select("name", "company", "spellings")
+
+
+def _deliveries(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "data_source")
+    rows = table(spark, d, "msds_sample").select("row_no", "id", "dataSource", "revisionDate", "productName", "fileName", "pdfPath", "loaded_at")
+    return normalise_timestamps(rows, "revisionDate", "dataSource", sources, "loaded_at").join(sources.select("dataSource", "trust_rank"), "dataSource", "left")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    trust, at, first = -F.coalesce("trust_rank", F.lit(1 << 30)), F.coalesce("utc_us", F.lit(-(1 << 62))), -F.col("row_no")
+    named = ~survivor.stand_in(F.col("productName")) & ~survivor.lost_end(F.col("productName"), F.col("fileName"))
+    filed = ~survivor.stand_in(F.col("pdfPath")) & survivor.finished_pdf(F.col("pdfPath"))
+    return survivor.choose(_deliveries(spark, d), "id", "row_no", {
+        "revisionDate": (F.col("utc_us").isNotNull(), [at, trust, first]),
+        "productName": (named, [trust, at, first]),
+        "pdfPath": (filed, [trust, at, first]),
+    })
+
+
+def p6_current_names(spark: SparkSession, d: str) -> DataFrame:
+    """The most current usable product name of each entry, by times and by learned precedence of names."""
+    rows = _deliveries(spark, d).where(~survivor.stand_in(F.col("productName")) & ~survivor.lost_end(F.col("productName"), F.col("fileName")))
+    learned = survivor.precedence(rows, "id", "productName", "utc_us")
+    return survivor.latest_values(rows, "id", "productName", "utc_us", learned)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text", bpe.vocabulary())
 
@@ -31,5 +71,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_texts(table(spark, d, "documents"), "doc_id", "text", bpe.vocabulary(), LIMIT, OVERLAP, only_oversized=True)
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_containers, p9_fill, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_companies, p6_found, p6_current_names, p8_ids, p9_containers, p9_fill, p10_pieces)}
 ORACLES: dict[str, str] = {}
