@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialworks.llm import bpe, names, packing, pieces, survivor
+from vialworks.llm import bpe, names, packing, pieces, scans, survivor, truncation
 from vialworks.operators.timestamps import normalise_timestamps
 from vialworks.sources.tables import table
 
@@ -13,6 +13,38 @@ CAPACITY = 2048
 LIMIT, OVERLAP = 512, 64
 
 
+def _fields() -> dict:
+    return {"hazardStatements": F.col("hazardStatements"), "prevention": F.col("precautionaryStatements.prevention")}
+
+
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, d, "msds_sample"), "row_no", "dataSource", _fields())
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).select("row_no", "field_name", "item_no")
+
+
+def p2_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    parts = [F.struct(F.lit(f).alias("f"), F.coalesce(F.size(F.filter(c, lambda x: x.isNotNull())), F.lit(0)).alias("n")) for f, c in _fields().items()]
+    totals = table(spark, d, "msds_sample").select("dataSource", F.explode(F.array(*parts)).alias("p")).groupBy("dataSource", F.col("p.f").alias("field_name")).agg(F.sum(F.greatest("p.n", F.lit(0))).alias("n_items"))
+    return truncation.source_rates(_cut(spark, d), totals, "dataSource")
+
+
+def p2_hazards(spark: SparkSession, d: str) -> DataFrame:
+    parts = [F.struct(F.lit(f).alias("f"), F.transform(c, F.length).alias("n")) for f, c in _fields().items()]
+    lengths = table(spark, d, "msds_sample").select("dataSource", F.explode(F.array(*parts)).alias("p")).select("dataSource", F.col("p.f").alias("field_name"), F.explode("p.n").alias("length"))
+    return truncation.length_hazards(lengths, ["dataSource", "field_name"], "length")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.find_damaged(table(spark, d, "msds_sample"), "row_no", _fields())
+
+
+def p7_statements(spark: SparkSession, d: str) -> DataFrame:
+    return scans.clean_statements(table(spark, d, "msds_sample"), "row_no", _fields())
+
+
 def _companies(spark: SparkSession, d: str) -> DataFrame:
     both = table(spark, d, "msds_sample").select(F.col("supplier").alias("name")).unionByName(table(spark, d, "msds_overrides").select(F.col("supplierCandidate").alias("name")))
     return names.link_names(both, "name")
@@ -71,5 +103,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_texts(table(spark, d, "documents"), "doc_id", "text", bpe.vocabulary(), LIMIT, OVERLAP, only_oversized=True)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_companies, p6_found, p6_current_names, p8_ids, p9_containers, p9_fill, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_source_rates, p2_hazards, p3_found, p3_companies, p6_found, p6_current_names, p7_found, p7_statements, p8_ids, p9_containers, p9_fill, p10_pieces)}
 ORACLES: dict[str, str] = {}
