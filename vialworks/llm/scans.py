@@ -14,13 +14,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from vialworks.llm.statements import CODE, HEAD, MORE, NOISE, Model, Reader, train
+from vialworks.llm.statements import CODE, HEAD, LINES, MORE, Model, Reader, rows_of_lists, train
 
-_TAIL = re.compile(r"\s*(?:\.{2,}|…|�)+\s*$")
 _INNER_PAGE = re.compile(r"\s-\s\d+\s-\s")
 _MARKS = re.compile(r"\s*(?:~~|\.\.)\s+|[~|@`¦°■□¬$­​]")
 _BREAK = re.compile(r"(?<=\w)[-¬] +(?=\w)")
@@ -31,16 +32,17 @@ def damaged(statements: list[str | None], reader: Reader) -> list[int]:
     """The numbers of the items of a list that must be repaired, joined with a neighbour or removed."""
     numbers, _, lines, labels = reader.read(statements)
     out = set()
-    before = None
+    before = last = None
     for no, line, y in zip(numbers, lines, labels, strict=True):
-        if y == HEAD or line.foreign:
+        if y == HEAD or line.foreign or line.noisy or no == last:
             out.add(no)
         if y == MORE and before is not None:
             out.update((no, before))
         if y != HEAD:
             before = no
+        last = no
     for no, text in enumerate(statements, 1):
-        if text and no not in out and NOISE.search(_TAIL.sub("", text.strip())):
+        if text and not text.isprintable() and no not in out and LINES.search(text):
             out.add(no)
     return sorted(out)
 
@@ -85,28 +87,31 @@ def reassemble(statements: list[str | None], reader: Reader) -> list[str]:
     return [x for x in (_mend(t, reader.model) for t in out) if x]
 
 
-def _run(df: DataFrame, key: str, fields: dict[str, Column], sample: int, schema: str, each) -> DataFrame:
+def _run(df: DataFrame, key: str, fields: dict[str, Column], sample: int, schema: T.StructType, each) -> DataFrame:
     model, labeller = train(df, key, fields, sample)
     shared = df.sparkSession.sparkContext.broadcast((model, labeller))  # bounded by the model's shares
     names = list(fields)
-    columns = [c.split()[0] for c in schema.split(", ")]
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*shared.value)
-        for pdf in batches:
-            rows = [(k, f, *r) for f in names for k, xs in zip(pdf["__key"], pdf[f], strict=True) if xs is not None and len(xs) for r in each(xs, reader)]
-            yield pd.DataFrame(rows, columns=columns)
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            rows = [(keys[r], names[c - 1], *x) for c, r, xs in rows_of_lists(batch, 1) for x in each(xs, reader)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], t.type) for t in arrow], schema=arrow)
 
-    return df.select(F.col(key).alias("__key"), *[c.alias(f) for f, c in fields.items()]).mapInPandas(run, schema)
+    return df.select(F.col(key).alias("__key"), *[c.alias(f) for f, c in fields.items()]).mapInArrow(run, schema)
+
+
+def _schema(df: DataFrame, key: str, *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("field_name", T.StringType()), *(T.StructField(n, t) for n, t in more)])
 
 
 def find_damaged(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 20_000) -> DataFrame:
     """(key, field_name, item_no): every item that the scan damaged."""
-    kind = df.schema[key].dataType.simpleString()
-    return _run(df, key, fields, sample, f"{key} {kind}, field_name string, item_no int", lambda xs, r: [(i,) for i in damaged(xs, r)])
+    return _run(df, key, fields, sample, _schema(df, key, ("item_no", T.IntegerType())), lambda xs, r: [(i,) for i in damaged(xs, r)])
 
 
 def clean_statements(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 20_000) -> DataFrame:
     """(key, field_name, statement_no, statement): the repaired statements of every list."""
-    kind = df.schema[key].dataType.simpleString()
-    return _run(df, key, fields, sample, f"{key} {kind}, field_name string, statement_no int, statement string", lambda xs, r: list(enumerate(reassemble(xs, r), 1)))
+    return _run(df, key, fields, sample, _schema(df, key, ("statement_no", T.IntegerType()), ("statement", T.StringType())), lambda xs, r: list(enumerate(reassemble(xs, r), 1)))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,9 +197,11 @@ class Line:
     ended: bool  # closed, or ends where sentences end
     sure: bool  # the same, under a strict threshold
     starter: bool
+    noisy: bool  # holds marks or blanks that statements don't have
     features: tuple
 
 
+TAIL = re.compile(r"\s*(?:\.{2,}|…|�)+\s*$")
 _MARK = re.compile(r"[~|`¦°■□¬$\u00ad\u200b]|(?<=\w)[!@](?=\w)|\s\.\.\s|(?<=\w)[-¬] +(?=\w)")
 
 
@@ -230,7 +233,8 @@ def read_line(c: str, coded: bool, model: Model) -> Line:
     starter = bool(fixed) and fixed[0] in model.starters
     share = foreign / max(1, len(toks))
     features = (("foreign", 0 if not foreign else 1 if share < 0.34 else 2), ("page", paged), ("starter", starter or coded), ("closed", closed), ("short", len(toks) < 6))
-    return Line(coded, tuple(toks), tuple(fixed), foreign, paged, closed, marked, ended, sure, starter, features)
+    noisy = NOISE.search(TAIL.sub("", c)) is not None
+    return Line(coded, tuple(toks), tuple(fixed), foreign, paged, closed, marked, ended, sure, starter, noisy, features)
 
 
 def bridged(a: Line, b: Line, model: Model) -> bool:
@@ -333,20 +337,22 @@ class Reader:
     def lines(self, statements: list[str | None]) -> tuple[list[int], list[str], list[Line]]:
         """Item numbers, texts and lines of a list; blank lines and nulls are left out."""
         numbers, texts, out = [], [], []
+        seen, mask, code = self.seen, DIGITS.sub, CODE.match
         for no, text in enumerate(statements, 1):
             if not text:
                 continue
-            for part in LINES.split(text) if LINES.search(text) else (text,):
+            for part in (text,) if text.isprintable() else LINES.split(text):
                 bare = part.strip()
                 if not bare:
                     continue
-                m = CODE.match(bare)
-                c = DIGITS.sub("0", bare[m.end() :] if m else bare)
-                line = self.seen.get((c, m is not None))
+                m = code(bare) if bare[0] in "HPE" else None
+                coded = m is not None
+                c = mask("0", bare[m.end() :] if coded else bare)
+                line = seen.get((c, coded))
                 if line is None:
-                    if len(self.seen) > 200_000:
-                        self.seen.clear()
-                    line = self.seen[c, m is not None] = read_line(c, m is not None, self.model)
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    line = seen[c, coded] = read_line(c, coded, self.model)
                 numbers.append(no)
                 texts.append(bare)
                 out.append(line)
@@ -364,6 +370,21 @@ def train(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 20_0
     """
     model = learn(items(df, key, fields), **shares)
     reader = Reader(model)
-    picked = df.select(F.xxhash64(key).alias("h"), *[c.alias(f) for f, c in fields.items()]).orderBy("h").limit(sample).drop("h")
-    lists = [reader.lines(list(x))[2] for row in picked.toLocalIterator() for x in row if x]
+    picked = df.select(F.xxhash64(key).alias("h"), *[c.alias(f) for f, c in fields.items()])
+    share = 1.5 * sample / max(1, df.count())
+    if share < 1:  # what can be among the least hashes, but for a chance beyond reckoning
+        picked = picked.where(F.col("h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    lists = [reader.lines(list(x))[2] for row in picked.orderBy("h").limit(sample).drop("h").collect() for x in row if x]
     return model, Labeller.fit(lists, model)
+
+
+def rows_of_lists(batch: pa.RecordBatch, first: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(column, row, strings) of every list column from `first` on and every row whose list isn't null or empty."""
+    for c in range(first, batch.num_columns):
+        column = batch.column(c)
+        strings = column.values.to_pylist()
+        offsets = column.offsets.to_pylist()
+        valid = column.is_valid().to_pylist() if column.null_count else None
+        for r in range(batch.num_rows):
+            if offsets[r] < offsets[r + 1] and (valid is None or valid[r]):
+                yield c, r, strings[offsets[r] : offsets[r + 1]]

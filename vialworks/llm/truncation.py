@@ -15,12 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vialworks.llm.scans import reassemble
-from vialworks.llm.statements import HEAD, MORE, Reader, sentences, train
+from vialworks.llm.statements import HEAD, MORE, Reader, rows_of_lists, sentences, train
 
 
 def length_hazards(lengths: DataFrame, by: list[str], length: str, reach: int = 5, level: float = 0.01) -> DataFrame:
@@ -52,40 +54,42 @@ def find_truncated(df: DataFrame, key: str, source: str, fields: dict[str, Colum
     shared = df.sparkSession.sparkContext.broadcast((model, labeller))  # bounded by the model's shares
     names = list(fields)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, labeller = shared.value
-        reader = Reader(model, labeller)
-        for pdf in batches:
-            rows = []
-            for f in names:
-                for k, src, xs in zip(pdf["__key"], pdf["__src"], pdf[f], strict=True):
-                    if xs is None or not len(xs):
-                        continue
-                    numbers, _, lines, labels = reader.read(xs)
-                    tail: tuple[str, ...] = ()
-                    for i, (no, line, y) in enumerate(zip(numbers, lines, labels, strict=True)):
-                        if y == HEAD:
-                            continue
-                        tail = tail + line.fixed if y == MORE else line.fixed
-                        if line.sure or (y == MORE and not line.marked and model.complete(sentences(list(tail))[-1], certain=0.9)):
-                            continue
-                        if i and numbers[i - 1] == no:  # a statement over several lines is judged as a whole
-                            whole = reassemble([xs[no - 1]], reader)
-                            line = reader.lines(whole[-1:])[2][-1] if whole else line
-                            if line.sure:
-                                continue
-                        j = i + 1
-                        while j < len(lines) and labels[j] == HEAD:
-                            j += 1
-                        if j < len(lines) and (numbers[j] == no or labels[j] == MORE):
-                            continue
-                        rows.append((k, f, no, src, len(xs[no - 1]), line.marked, line.ended))
-            yield pd.DataFrame(rows, columns=[key, "field_name", "item_no", source, "length", "marked", "__ended"])
-
-    kind, src = df.schema[key].dataType.simpleString(), df.schema[source].dataType.simpleString()
-    open_ones = df.select(F.col(key).alias("__key"), F.col(source).alias("__src"), *[c.alias(f) for f, c in fields.items()]).mapInPandas(
-        judge, f"{key} {kind}, field_name string, item_no int, {source} {src}, length int, marked boolean, __ended boolean"
-    )
+    schema = T.StructType(
+        [T.StructField(key, df.schema[key].dataType), T.StructField("field_name", T.StringType()), T.StructField("item_no", T.IntegerType()), T.StructField(source, df.schema[source].dataType),
+         T.StructField("length", T.IntegerType()), T.StructField("marked", T.BooleanType()), T.StructField("__ended", T.BooleanType())]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def cut(xs: list[str | None], reader: Reader) -> Iterator[tuple[int, int, bool, bool]]:
+        """(item, length, marked, ended) of the items whose end isn't beyond doubt."""
+        numbers, _, lines, labels = reader.read(xs)
+        tail: tuple[str, ...] = ()
+        for i, (no, line, y) in enumerate(zip(numbers, lines, labels, strict=True)):
+            if y == HEAD:
+                continue
+            tail = tail + line.fixed if y == MORE else line.fixed
+            if line.sure or (y == MORE and not line.marked and reader.model.complete(sentences(list(tail))[-1], certain=0.9)):
+                continue
+            if i and numbers[i - 1] == no:  # a statement over several lines is judged as a whole
+                whole = reassemble([xs[no - 1]], reader)
+                line = reader.lines(whole[-1:])[2][-1] if whole else line
+                if line.sure:
+                    continue
+            j = i + 1
+            while j < len(lines) and labels[j] == HEAD:
+                j += 1
+            if j < len(lines) and (numbers[j] == no or labels[j] == MORE):
+                continue
+            yield no, len(xs[no - 1]), line.marked, line.ended
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(*shared.value)
+        for batch in batches:
+            keys, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(keys[r], names[c - 2], no, sources[r], *x) for c, r, xs in rows_of_lists(batch, 2) for no, *x in cut(xs, reader)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t.type) for x, t in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], t.type) for t in arrow], schema=arrow)
+
+    open_ones = df.select(F.col(key).alias("__key"), F.col(source).alias("__src"), *[c.alias(f) for f, c in fields.items()]).mapInArrow(judge, schema)
     parts = [F.struct(F.lit(f).alias("f"), F.transform(c, F.length).alias("n")) for f, c in fields.items()]
     lengths = df.select(F.col(source), F.explode(F.array(*parts)).alias("p")).select(source, F.col("p.f").alias("field_name"), F.explode("p.n").alias("length"))
     peaks = length_hazards(lengths, [source, "field_name"], "length", level=level).where("significant").select(source, "field_name", "length", "significant")
