@@ -31,6 +31,8 @@ DASH = " - "
 
 
 def tokens(text: str) -> list[str]:
+    if " - " not in text and not text.startswith("- ") and not text.endswith(" -"):
+        return TOKEN.findall(text)
     out = []
     for m in TOKEN.finditer(text):
         t = m.group()
@@ -215,25 +217,33 @@ def _unmarked(c: str) -> str:
 def read_line(c: str, coded: bool, model: Model) -> Line:
     """c: the line without its code, its digits masked."""
     toks = tokens(c)
-    plain = tokens(_unmarked(c)) if _MARK.search(c) else toks
+    lexicon = model.lexicon
+    foreign = sum(t not in lexicon and t not in STOPS for t in toks)
+    odd = foreign or "  " in c or " ." in c or " ," in c or " ;" in c or " :" in c or ".." in c or not c.isprintable()
+    starter = bool(toks) and toks[0] in model.starters
+    if not odd and toks and toks[-1] in STOPS and (len(toks) < 2 or toks[-2] != "0"):  # a plain whole statement
+        features = (("foreign", 0), ("page", False), ("starter", starter or coded), ("closed", True), ("short", len(toks) < 6))
+        return Line(coded, tuple(toks), tuple(toks), 0, False, True, False, True, True, starter, False, features)
+    plain = tokens(_unmarked(c)) if odd and _MARK.search(c) else toks
     marked = bool(toks) and (toks[-1] in ("…", "..", "�") or toks[-1].startswith(".."))
-    fixed = [model.repair(t) or t for t in plain]
+    fixed = [t if t in lexicon else model.repair(t) or t for t in plain] if odd else toks
     last = sentences(fixed)[-1] if fixed else []
     closed = bool(last) and last[-1] in STOPS and not marked
     if closed and len(last) > 1 and last[-2] == "0" and not model.complete(last[:-1]):
         closed, last = False, last[:-1]  # a number cut before its fraction
     ended = sure = closed
     if not closed and not marked and last:
-        cut_word = plain[-1] not in model.lexicon and (plain[-1] in model.prefixes or fixed[-1] == plain[-1])
+        cut_word = plain[-1] not in lexicon and (plain[-1] in model.prefixes or fixed[-1] == plain[-1])
         ended = not cut_word and model.complete(last)
         sure = ended and model.complete(last, certain=0.9)
-    paged = bool(PAGE.search(c))
-    inner = toks[:-2] if marked else toks if closed or ended or (paged and toks[-1] not in model.prefixes) else toks[:-1]  # without a word that may be a part
-    foreign = sum(t not in model.lexicon for t in inner if t not in STOPS)
+    paged = not closed and PAGE.search(c) is not None
+    if foreign and (marked or not (closed or ended or (paged and toks[-1] not in model.prefixes))):  # without a word that may be a part
+        foreign = sum(t not in lexicon and t not in STOPS for t in toks[: -2 if marked else -1])
+    paged = paged and foreign > 0  # heads and feet hold words or marks that statements don't
     starter = bool(fixed) and fixed[0] in model.starters
     share = foreign / max(1, len(toks))
     features = (("foreign", 0 if not foreign else 1 if share < 0.34 else 2), ("page", paged), ("starter", starter or coded), ("closed", closed), ("short", len(toks) < 6))
-    noisy = NOISE.search(TAIL.sub("", c)) is not None
+    noisy = bool(odd) and NOISE.search(TAIL.sub("", c)) is not None
     return Line(coded, tuple(toks), tuple(fixed), foreign, paged, closed, marked, ended, sure, starter, noisy, features)
 
 
@@ -363,7 +373,7 @@ class Reader:
         return numbers, texts, lines, self.labeller.label(lines, self.model) if lines else []
 
 
-def train(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 20_000, **shares: float) -> tuple[Model, Labeller]:
+def train(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_000, **shares: float) -> tuple[Model, Labeller]:
     """The model of all statements, and the labeller, fitted to the lists of a sample of at most `sample` rows.
 
     The sample is the rows with the least hashes of their key, so it is the same however the table is partitioned.

@@ -48,7 +48,7 @@ def length_hazards(lengths: DataFrame, by: list[str], length: str, reach: int =
     return h.withColumn("significant", F.coalesce(F.col("__k") <= last, F.lit(False))).drop("__k", "__m")
 
 
-def find_truncated(df: DataFrame, key: str, source: str, fields: dict[str, Column], level: float = 0.01, sample: int = 20_000) -> DataFrame:
+def find_truncated(df: DataFrame, key: str, source: str, fields: dict[str, Column], level: float = 0.01, sample: int = 5_000) -> DataFrame:
     """(key, field_name, item_no, source, length, marked, significant): every item whose end is missing."""
     model, labeller = train(df, key, fields, sample)
     shared = df.sparkSession.sparkContext.broadcast((model, labeller))  # bounded by the model's shares
