@@ -109,13 +109,18 @@ class Model:
                 if len(w) > 1:
                     for v in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
                         self._near.setdefault(v, []).append(w)
-        plain = word
+        variants = {word}
         for a, b in CONFUSED:
-            plain = plain.replace(a, b)
+            variants.add(word.replace(a, b))
+            i = word.find(a)
+            while i >= 0:
+                variants.add(word[:i] + b + word[i + len(a) :])
+                i = word.find(a, i + 1)
+        known = [v for v in variants if v in self.lexicon]
+        if known:
+            return max(known, key=lambda w: (self.words[w], w))
         options: set[str] = set()
-        for x in {word, plain}:
-            if x in self.lexicon:
-                return x
+        for x in variants:
             for v in {x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}:
                 options.update(self._near.get(v, ()))
         options = {w for w in options if min(len(w), len(word)) >= 2 and abs(len(w) - len(word)) <= 2}
@@ -282,7 +287,13 @@ class Labeller:
 
     @classmethod
     def fit(cls, lists: list[list[Line]], model: Model) -> Labeller:
+        # each state begins with a few lines of its plain kind, so a state that the sample lacks isn't likely everywhere
+        plain = {HEAD: (2, True, False, False, True, False), BODY: (0, False, True, True, False, False), MORE: (0, False, False, True, False, True)}
         seen: dict[tuple, int] = {}
+        for y, values in plain.items():
+            seen["n", y] = 20
+            for name, v in zip(KINDS, values, strict=True):
+                seen["emit", y, (name, v)] = 20
         for lines in lists:
             before: Line | None = None
             for line in lines:
@@ -380,11 +391,11 @@ def train(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_00
     """
     model = learn(items(df, key, fields), **shares)
     reader = Reader(model)
-    picked = df.select(F.xxhash64(key).alias("h"), *[c.alias(f) for f, c in fields.items()])
+    picked = df.select(F.xxhash64(key).alias("__h"), *[c.alias(f) for f, c in fields.items()])
     share = 1.5 * sample / max(1, df.count())
     if share < 1:  # what can be among the least hashes, but for a chance beyond reckoning
-        picked = picked.where(F.col("h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
-    lists = [reader.lines(list(x))[2] for row in picked.orderBy("h").limit(sample).drop("h").collect() for x in row if x]
+        picked = picked.where(F.col("__h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    lists = [reader.lines(list(x))[2] for row in picked.orderBy("__h").limit(sample).drop("__h").collect() for x in row if x]
     return model, Labeller.fit(lists, model)
 
 
