@@ -167,3 +167,28 @@ def search(df: DataFrame, key: str, query: str, names: list[Column], codes: list
     score = reduce(lambda a, b: a + b, [F.when(cond, F.lit(weight)).otherwise(0) for cond, weight, _ in parts])
     reason = F.coalesce(*[F.when(cond, F.lit(label)) for cond, _, label in parts])
     return df.select(key, score.alias("score"), reason.alias("reason")).where("score > 0")
+
+
+def scored_matches(products: DataFrame, product: str, file: Column, name: Column, cas: Column, documents: DataFrame, document: str, doc_file: Column, doc_name: Column, doc_cas: Column) -> DataFrame:
+    """(product, document, score, cas_overlap, tier): documents that fit a product, by the sum of their reasons.
+
+    Reasons: equal file 100, else equal file key 90; equal name 60; two or more common registry numbers 40, one 15.
+    Candidates share a file key or a name, so a registry number that stands in many rows pairs nothing by itself.
+    Tiers: strong from 90, probable from 60, weak below.
+    """
+    p = products.select(F.col(product), file.alias("__f"), name.alias("__n"), cas.alias("__c"))
+    d = documents.select(F.col(document), doc_file.alias("__df"), doc_name.alias("__dn"), doc_cas.alias("__dc"))
+    ids = key_overlap(
+        p, product, [F.concat(F.lit("f:"), keys.match_key(F.col("__f"))), F.concat(F.lit("n:"), keys.match_key(F.nullif(F.trim("__n"), F.lit(""))))],
+        d, document, [F.concat(F.lit("f:"), keys.match_key(F.col("__df"))), F.concat(F.lit("n:"), keys.match_key(F.nullif(F.trim("__dn"), F.lit(""))))],
+    )
+    j = ids.join(p, product).join(d, document)
+    same = lambda a, b: F.coalesce(a == b, F.lit(False))
+    common = F.coalesce(F.size(F.array_intersect("__c", "__dc")), F.lit(0))
+    common = F.when(common < 0, 0).otherwise(common)
+    score = (
+        F.when(same(F.col("__f"), F.col("__df")), 100).when(same(keys.match_key(F.col("__f")), keys.match_key(F.col("__df"))), 90).otherwise(0)
+        + F.when(same(keys.match_key(F.col("__n")), keys.match_key(F.col("__dn"))), 60).otherwise(0)
+        + F.when(common >= 2, 40).when(common == 1, 15).otherwise(0)
+    )
+    return j.select(product, document, score.alias("score"), common.alias("cas_overlap")).select("*", F.when(F.col("score") >= 90, "strong").when(F.col("score") >= 60, "probable").otherwise("weak").alias("tier"))

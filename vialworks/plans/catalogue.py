@@ -374,3 +374,56 @@ def top1_search(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     hits = op.search(table(spark, d, "msds_sample"), "row_no", "크릴 thinner", [c("productName"), c("erpName")], [c("msdsNo")], [c("fileName"), c("supplier"), c("useCategory")], SYNONYMS)
     return hits.orderBy(F.desc("score"), "row_no")
+
+
+@query(f"""with p as (select id, first(fileName order by row_no) as f, first(productName order by row_no) as n from msds_sample where id is not null group by id),
+  pc as (select productId as id, list_distinct(list(trim(casNo))) as c from msds_ingredient where coalesce({_CAS.format(c='trim(casNo)')}, false) group by 1),
+  a as (select p.id, f, n, c from p left join pc using (id)), b as (select inventory_no, fileName as df, productNameCandidates[1] as dn, casNoCandidates as dc from pdf_inventory),
+  k as (select id, 'f:' || {_MATCH('f')} as k from a union select id, 'n:' || {_MATCH("nullif(trim(n), '')")} from a),
+  l as (select inventory_no, 'f:' || {_MATCH('df')} as k from b union select inventory_no, 'n:' || {_MATCH("nullif(trim(dn), '')")} from b),
+  i as (select distinct id, inventory_no from k join l using (k) where k <> ''),
+  s as (select id, inventory_no, case when f = df then 100 when {_MATCH('f')} = {_MATCH('df')} then 90 else 0 end + case when {_MATCH('n')} = {_MATCH('dn')} then 60 else 0 end as base,
+    coalesce(len(list_intersect(c, dc)), 0) as cas_overlap from i join a using (id) join b using (inventory_no)),
+  t as (select id, inventory_no, cast(base + case when cas_overlap >= 2 then 40 when cas_overlap = 1 then 15 else 0 end as int) as score, cast(cas_overlap as int) as cas_overlap from s)
+  select *, case when score >= 90 then 'strong' when score >= 60 then 'probable' else 'weak' end as tier from t""")
+def jon5_scored_matches(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "msds_sample").where("id is not null").groupBy("id").agg(F.min_by("fileName", "row_no").alias("f"), F.min_by("productName", "row_no").alias("n"))
+    cas = table(spark, d, "msds_ingredient").where(text.valid_cas(F.trim("casNo"))).groupBy(F.col("productId").alias("id")).agg(F.collect_set(F.trim("casNo")).alias("c"))
+    c = F.col
+    return op.scored_matches(g.join(cas, "id", "left"), "id", c("f"), c("n"), c("c"), table(spark, d, "pdf_inventory"), "inventory_no", c("fileName"), F.get("productNameCandidates", F.lit(0)), c("casNoCandidates"))
+
+
+@query(rf"""select min(v) as suggestion, count(*) as n from (select {_SEARCH('v')} as k, v, w from (select trim(productName) as v, 0 as w from msds_sample union all select trim(supplier), 1 from msds_sample)
+  where v <> '' and length(v) <= 60) where contains(k, '크릴') and k <> '크릴' group by k order by not starts_with(k, '크릴'), min(w), count(*) desc, length(min(v)), min(v) limit 8""")
+def top4_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """The eight best completions of a word: those that start with it first, then by field, frequency, length and text."""
+    s = table(spark, d, "msds_sample")
+    pool = s.select(F.explode(F.array(*[F.struct(F.trim(c).alias("v"), F.lit(w).alias("w")) for w, c in enumerate(("productName", "supplier"))])).alias("x")).select("x.*")
+    g = pool.where("v <> '' and length(v) <= 60").groupBy(keys.search_key(F.col("v")).alias("k")).agg(F.min("v").alias("suggestion"), F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
+    hits = g.where(F.contains("k", F.lit("크릴")) & (F.col("k") != "크릴"))
+    return hits.orderBy(~F.startswith("k", F.lit("크릴")), "w", F.desc("n"), F.length("suggestion"), "suggestion").limit(8).select("suggestion", "n")
+
+
+#: Hazard codes that go with the signal word for danger only.
+DANGER_ONLY = "H220 H222 H224 H225 H230 H231 H250 H260 H270 H271 H300 H301 H304 H310 H311 H314 H318 H330 H331 H334 H340 H350 H360 H370 H372".split()
+
+
+@query(f"""with c as (select distinct row_no, unnest(regexp_extract_all(array_to_string(hazardStatements, ' '), 'H[0-9]{{3}}')) as h from msds_sample)
+  select 'SIGNAL_TOO_WEAK' as rule, c.row_no, string_agg(h, ',' order by h) as codes from c join msds_sample s using (row_no)
+  where h in ({", ".join(f"'{h}'" for h in DANGER_ONLY)}) and lower(trim(s.signalWord)) in ('경고', 'warning') group by c.row_no""")
+def val7_signal_rules(spark: SparkSession, d: str) -> DataFrame:
+    h = F.array_distinct(F.regexp_extract_all(F.array_join("hazardStatements", " "), F.lit("H[0-9]{3}"), F.lit(0)))
+    bad = F.array_sort(F.array_intersect(h, F.array(*[F.lit(x) for x in DANGER_ONLY])))
+    s = table(spark, d, "msds_sample").where(text.signal_word(F.col("signalWord")) == "경고").select(F.lit("SIGNAL_TOO_WEAK").alias("rule"), "row_no", F.array_join(bad, ",").alias("codes"))
+    return s.where("codes <> ''")
+
+
+@query(rf"""select code, phrase, n, total from (select *, cast(sum(n) over (partition by code) as bigint) as total, row_number() over (partition by code order by n desc, phrase) as r from (
+  select regexp_extract(s, '^([HP][0-9]{{3}}) ', 1) as code, regexp_replace(regexp_replace(s, '^[HP][0-9]{{3}} ', ''), '[{_B},.·ㆍ∙]', '', 'g') as phrase, count(*) as n
+  from (select unnest(hazardStatements) as s from msds_sample) where regexp_matches(s, '^[HP][0-9]{{3}} ') group by all)) where r = 1 and n >= 3 and total >= 4""")
+def agg8_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent phrase of every hazard code, where it is common enough to judge others by it."""
+    s = table(spark, d, "msds_sample").select(F.explode("hazardStatements").alias("s")).where(F.col("s").rlike("^[HP][0-9]{3} "))
+    g = s.groupBy(F.substring("s", 1, 4).alias("code"), keys.paragraph_key(F.regexp_replace("s", "^[HP][0-9]{3} ", "")).alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
+    top = g.groupBy("code").agg(F.min(F.struct((-F.col("n")).alias("m"), "phrase")).alias("t"), F.sum("n").alias("total"))
+    return top.select("code", "t.phrase", (-F.col("t.m")).alias("n"), "total").where("n >= 3 and total >= 4")
