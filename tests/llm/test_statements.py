@@ -51,6 +51,20 @@ def test_repaired_statements(table):
     }
 
 
+def test_page_text_inside_a_line(table):
+    inner = [
+        (2001, "scan", ["Keep away from mist while SAFETY SHEET Foobar 12 Page 3/8 working in the tool crib."]), (2002, "scan", ["Breathing the fume 물질안전보건자료 루미파이로 10 (S2) 2/2 may bring on headache."]),
+        (2003, "scan", ["H211 Leaves a film on floors in the drum store after - printed copy - p. 5 7 hours."]), (2004, "scan", ["Breathing the fume 4 / 4 페이지 may bring on headache. Keep away from spray while working in the mixing bay."]),
+        (2005, "clean", ["Leaves a film on floors in the mixing bay after 7 hours."]),
+    ]
+    more = table.sparkSession.createDataFrame(inner, "k long, src string, h array<string>").withColumn("item_no", F.lit("clash"))
+    rows = scans.clean_statements(table.unionByName(more), "k", fields()).where("k > 2000").collect()
+    assert {(r.k, r.statement) for r in rows} == {
+        (2001, "Keep away from mist while working in the tool crib."), (2002, "Breathing the fume may bring on headache."), (2003, "H211 Leaves a film on floors in the drum store after 7 hours."),
+        (2004, "Breathing the fume may bring on headache. Keep away from spray while working in the mixing bay."), (2005, "Leaves a film on floors in the mixing bay after 7 hours."),
+    }
+
+
 def test_empty_tables(table):
     none = table.limit(0)
     assert truncation.find_truncated(none, "k", "src", fields()).count() == 0

@@ -20,12 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vialworks.llm.statements import CODE, HEAD, LINES, MORE, Model, Reader, rows_of_lists, train
+from vialworks.llm.statements import CODE, DIGITS, HEAD, LINES, MORE, PAGE, STOPS, TOKEN, Labeller, Model, Reader, read_line, rows_of_lists, tokens, train
 
 _INNER_PAGE = re.compile(r"\s-\s\d+\s-\s")
 _MARKS = re.compile(r"\s*(?:~~|\.\.)\s+|[~|@`¦°■□¬$­​]")
 _BREAK = re.compile(r"(?<=\w)[-¬] +(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
+#: What a line must hold before it is searched for page text inside, and a mark of numbers alone.
+_INNER_MARK = re.compile(r"(?i)\bpage\b|\bp\.\s*\d|\bsheet\b|\d\s*/\s*\d|쪽\s*\d|\d\s*(?:쪽|페이지)|-\s+\d+\s+-|\[\d+\]|\|\s*\d")
+_MARK_ONLY = re.compile(r"-\s*\d+\s*-|\[\d+\]|\d+\s*/\s*\d+\s*(?:페이지|쪽)?")
+_NUMBERS = re.compile(r"\W*\d+\W+\d+\W*")
 
 
 def damaged(statements: list[str | None], reader: Reader) -> list[int]:
@@ -51,10 +55,12 @@ def _mend(text: str, model: Model) -> str:
     """A statement with its marks taken out, its spaces put right and its damaged words repaired."""
     m = CODE.match(text)
     head, body = (text[: m.end()].strip() + " ", text[m.end() :]) if m else ("", text)
-    body = _INNER_PAGE.sub(" ", body)
+    if " - " in body or not body.isprintable():
+        body = _INNER_PAGE.sub(" ", body)
     if _MARKS.search(body):
         body = _MARKS.sub(lambda m: " " if m.group()[0].isspace() else "", body)
-    body = _BREAK.sub("", body)
+    if "-" in body or "¬" in body:
+        body = _BREAK.sub("", body)
 
     def fix(m: re.Match) -> str:
         w = m.group()
@@ -62,12 +68,122 @@ def _mend(text: str, model: Model) -> str:
             return w
         return model.repair(re.sub(r"\d+", "0", w)) or w
 
-    return head + re.sub(r"\s+", " ", _WORD.sub(fix, body)).replace(" .", ".").strip()
+    if not model.kept.issuperset(words := _WORD.findall(body)):  # else every word stays as it is
+        if len(model.kept) > 200_000:
+            model.kept.clear()
+        model.kept.update(w for w in words if fix(_WORD.match(w)) == w)
+        body = _WORD.sub(fix, body)
+    return head + " ".join(body.split()).replace(" .", ".").strip()
+
+
+def page_span(text: str, model: Model, labeller: Labeller) -> tuple[int, int] | None:
+    """Where in a line the text of a page's head or foot stands: its first and last place, None if there is none.
+
+    The line is parted at every place where its words don't follow each other in the corpus. Of the parts that hold a
+    page mark and that the labeller takes for a header, the one counts after which the rest goes on best: as known
+    words over the gap, or as a whole statement before or after it; of several the one that leaves the fewest words out
+    of the lexicon, then the shortest. At the edge of a line the
+    rest may go on in another line, so there it only has to be known words up to the gap.
+    """
+    m = CODE.match(text)
+    at = m.end() if m else 0
+    body = text[at:]
+    masked = DIGITS.sub("0", body)
+    toks, spans = tokens(masked), [x.span() for x in TOKEN.finditer(body)]
+    n = len(toks)
+    if n != len(spans) or n < 2:
+        return None
+    fixed = [t if t in model.lexicon else model.repair(t) or t for t in toks]
+
+    def known(*ts: str) -> bool:
+        g = " ".join(ts)
+        return g in model.inner or g in model.ends
+
+    # a stop parts sentences, so what follows it is no break
+    breaks = [0, *(i for i in range(1, n) if toks[i] not in STOPS and (fixed[i - 1] in STOPS or not known(fixed[i - 1], fixed[i]))), n]
+    if len(breaks) == 2:
+        return None
+    strange = [0]
+    for t in toks:
+        strange.append(strange[-1] + (t not in model.lexicon and t not in STOPS))
+
+    def rest(i: int, j: int) -> int:
+        """How well the line goes on without its words i to j; 0 if it doesn't."""
+        left, right = fixed[:i], fixed[j:]
+        if left and right:
+            if left[-1] in STOPS:
+                return 2 if right[0] in model.starters else 0
+            if toks[i - 1] == "-" and i > 1:
+                return 3 if toks[i - 2] + toks[j] in model.lexicon else 0
+            if toks[j] in STOPS:
+                return 2 if model.complete(left) else 0
+            if i == 1 and strange[1] and j in breaks and toks[j] in model.lexicon and any(w.endswith(toks[0]) for w in model.lexicon):
+                return 2  # the end of a word that the line before begins
+            if j == n - 1 and toks[j] not in model.lexicon and toks[j] in model.prefixes and i in breaks:
+                return 2  # the begin of a word that is cut or goes on in the next line
+            return 2 * (len(left) > 1 and known(*left[-2:], right[0])) + (len(right) > 1 and known(left[-1], *right[:2])) or int(n - (j - i) <= 3 and known(left[-1], right[0]))
+        if not left and right[0] in model.starters and right[0] != "0" and (len(right) == 1 or known(*right[:2])):
+            return 1
+        if not left and m:  # a statement starts behind a code
+            return 0
+        if _MARK_ONLY.fullmatch(body[spans[i][0] : spans[j - 1][1]]):
+            return 2
+        whole = (strange[j] - strange[i] >= 2 and 4 * (strange[j] - strange[i]) >= j - i)
+        return int(bool(whole and i in breaks and j in breaks and (left or toks[0] == "0" or toks[0] not in model.lexicon)))
+
+    blank = [i in (0, n) or body[spans[i][0] - 1].isspace() for i in range(n + 1)]
+    # where three words follow each other as in the corpus there is no page text
+    words = [t in model.lexicon and t[0].isalpha() for t in toks]
+    body_at = [i for i in range(n - 2) if sum(words[i : i + 3]) > 1 and known(*fixed[i : i + 3])]
+    best = None
+    for i in sorted({*breaks[:-1], *(i for i in range(n) if blank[i] and toks[i] in ("0", "[", "|", "-", " - "))}):
+        for j in range(i + 1, n + 1):
+            if any(i <= k <= j - 3 for k in body_at):
+                break
+            if (i, j) == (0, n) or not (blank[i] and blank[j]) or not (j in breaks or j < n and known(fixed[i - 1], fixed[j])):
+                continue
+            part = body[spans[i][0] : spans[j - 1][1]]
+            if not PAGE.search(part) and not _NUMBERS.fullmatch(part):
+                continue
+            foreign = strange[j] - strange[i]
+            if not foreign and not (_NUMBERS.fullmatch(part) and 0 < i and j < n):
+                continue
+            score = rest(i, j)
+            if not score:
+                continue
+            if foreign:
+                c = [DIGITS.sub("0", x) for x in (body[: spans[i][0]].strip(), part, body[spans[j - 1][1] :].strip())]
+                lines = [read_line(x, k == 0 and m is not None, model) for k, x in enumerate(c) if x]
+                if labeller.label(lines, model)[1 if c[0] else 0] != HEAD:
+                    continue
+            found = (score, strange[j] - strange[i], i - j, at + spans[i][0], at + spans[j - 1][1])
+            best = max(best, found) if best else found
+    return best[3:] if best else None
+
+
+def _without_pages(text: str, reader: Reader) -> str:
+    """A line without the page text that stands inside it."""
+    low = text.lower()
+    if not ("/" in low or "쪽" in low or "페이지" in low or "page" in low or "sheet" in low or "p." in low or "-" in low or "[" in low or "|" in low):
+        return text
+    if _MARK_ONLY.fullmatch(text):
+        return ""
+    while _INNER_MARK.search(text):
+        span = page_span(text, reader.model, reader.labeller)
+        if span is None:
+            break
+        a, b = text[: span[0]].rstrip(), text[span[1] :].lstrip()
+        text = f"{a}{b}" if not a or b[:1] in STOPS else f"{a} {b}".rstrip()
+    return text
 
 
 def reassemble(statements: list[str | None], reader: Reader) -> list[str]:
-    """The clean statements of a list: headers removed, broken lines joined, words repaired."""
+    """The clean statements of a list: headers removed, in lines of their own or inside a line, broken lines joined,
+    words repaired."""
     _, texts, lines, labels = reader.read(statements)
+    bare = [t if y == HEAD else _without_pages(t, reader) for t, y in zip(texts, labels, strict=True)]
+    if bare != texts:
+        _, texts, lines, labels = reader.read(bare)
     out: list[str] = []
     for text, line, y in zip(texts, lines, labels, strict=True):
         if y == HEAD:

@@ -78,6 +78,7 @@ class Model:
         self.starters = {w for w, n in self.starts.items() if n >= least}
         self.prefixes = {w[:i] for w in self.lexicon for i in range(1, len(w))}
         self.repairs: dict[str, str | None] = {}
+        self.kept: set[str] = set()  # words that a repair leaves as they are
         self._near: dict[str, list[str]] | None = None
 
     def complete(self, sentence: list[str], certain: float = 0.5, support: int = 2) -> bool:
