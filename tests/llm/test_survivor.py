@@ -31,3 +31,16 @@ def test_currency(spark):
     got = {r.g: (r.v, r.basis) for r in survivor.latest_values(df, "g", "v", "t", learned).collect()}
     assert got["a"] == ("new", "time") and got["d"][0] == "new" and got["e"] == ("new", "precedence") and got["f"] == ("one", "only") and None not in got
     assert survivor.latest_values(df.limit(0), "g", "v", "t", learned).count() == 0
+
+
+def test_currency_over_several_steps(spark):
+    path = [(g, v, t) for g in ("a", "b") for v, t in (("z1", 1), ("m2", 2))] + [(g, v, t) for g in ("c", "d") for v, t in (("m2", 1), ("a3", 2))]
+    apart = [("e", "p1", 1), ("e", "x", 2), ("e", "q3", 3), ("f", "p1", 1), ("f", "y", 2), ("f", "q3", 3)]
+    asked = [("g", "z1", None), ("g", "a3", None), ("h", "p1", None), ("h", "q3", None), ("i", "k", 1), ("i", "m2", 2), ("i", "a3", None), ("j", "u", None), ("j", "s", None), ("k", "u", 7), ("k", "s", 7)]
+    df = spark.createDataFrame(path + apart + asked, "g string, v string, t int")
+    learned = survivor.precedence(df, "g", "v", "t", block=2)
+    assert {(r.older, r.newer): r.n for r in learned.collect()} == {("z1", "m2"): 2, ("m2", "a3"): 2, ("p1", "x"): 1, ("p1", "y"): 1, ("x", "q3"): 1, ("y", "q3"): 1, ("p1", "q3"): 2, ("k", "m2"): 1}
+    got = {r.g: (r.v, r.basis) for r in survivor.latest_values(df, "g", "v", "t", learned).collect()}
+    assert got["g"][0] == "a3" and got["h"][0] == "q3" and got["i"] == ("a3", "precedence") and got["j"][0] == "s" and got["k"] == ("s", "time")
+    loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "older string, newer string")
+    assert {(r.older, r.newer) for r in survivor.transitive(loop).collect()} == {(x, y) for x in "abc" for y in "de"} | {("d", "e")}

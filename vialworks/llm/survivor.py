@@ -12,9 +12,11 @@ rows is reduced in every task before the shuffle; no window or list over a group
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vialworks.session import checkpoint
+
 #: Stand-ins for a missing value, compared in lower case without blanks around.
 STAND_INS = (
     "-", "--", "—", "?", "??", ".", "x", "xx", "xxx", "n/a", "na", "n.a.", "#n/a", "none", "null", "nil", "nan", "tbd", "tba", "unknown", "empty",
@@ -61,33 +63,56 @@ def choose(df: DataFrame, group: str, row: str, fields: dict[str, tuple[Column,
     return g.select(group, F.explode(out).alias("x")).where("x.row is not null").select(group, "x.field_name", F.col("x.row").alias(row))
 
 
-def precedence(df: DataFrame, group: str, value: str, at: str) -> DataFrame:
+def precedence(df: DataFrame, group: str, value: str, at: str, block: int = 1_000) -> DataFrame:
     """(older, newer, n): how many groups show `older` strictly before `newer`, by the last time each value was seen
-    before the other's first. Adjacent values only, so a group of k values gives at most k - 1 pairs."""
+    before the other's first. All ordered pairs of a group count; groups with more than `block` values are salted."""
     spans = df.where(F.col(group).isNotNull() & F.col(value).isNotNull() & F.col(at).isNotNull()).groupBy(group, value).agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    w = Window.partitionBy(group).orderBy("last", value)
-    steps = spans.select(group, F.lag(value).over(w).alias("older"), F.lag("last").over(w).alias("was"), F.col(value).alias("newer"), "first")
-    return steps.where("older is not null and was < first").groupBy("older", "newer").agg(F.count(F.lit(1)).alias("n"))
+    several = spans.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).alias("salts"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    s = spans.join(several, group)
+    a = s.select(group, F.expr(f"pmod(xxhash64(`{value}`), salts)").alias("salt"), F.col(value).alias("older"), "last")
+    b = s.select(group, F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.col(value).alias("newer"), "first")
+    return a.join(b, [group, "salt"]).where("last < first").groupBy("older", "newer").agg(F.count(F.lit(1)).alias("n"))
+
+
+def transitive(edges: DataFrame) -> DataFrame:
+    """(older, newer): every pair that a path of edges joins. Paths double each round, until a round adds none; values
+    that precede each other both ways are in no order and left out."""
+    known = checkpoint(edges.select("older", "newer").distinct())
+    n = known.count()
+    while n:
+        step = known.select(F.col("older").alias("mid"), F.col("newer").alias("end"))
+        longer = known.join(step, F.col("newer") == F.col("mid")).select("older", F.col("end").alias("newer"))
+        known = checkpoint(known.unionByName(longer).distinct())
+        before, n = n, known.count()
+        if n == before:
+            break
+    back = known.select(F.col("older").alias("newer"), F.col("newer").alias("older"))
+    return known.join(back, ["older", "newer"], "left_anti")
 
 
 def latest_values(df: DataFrame, group: str, value: str, at: str, learned: DataFrame, min_share: float = 0.8, min_count: int = 2) -> DataFrame:
     """(group, value, basis): the most current value of every group.
 
-    Timed rows decide where they are; a value without a time beats the latest timed one, or stands first among the
-    untimed ones, where the learned precedence says with at least `min_share` and `min_count` that it follows.
-    basis: `time`, `precedence`, or `only` for a group with a single value. Groups that neither decides take the
-    value that no learned precedence puts before another of the group, the smallest of several.
+    The order of a group's values is that of their times, where both have one, and of the learned precedence, closed
+    transitively, where it says with at least `min_share` and `min_count` that one follows the other. Of the values
+    that no other follows, one with a time is taken first, then the smallest; where the two orders contradict each
+    other so that none is left, the latest in time.
+    basis: `time`, `precedence`, or `only` for a group with a single value.
     """
     values = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.max(at).alias("at"))
     back = learned.select(F.col("older").alias("newer"), F.col("newer").alias("older"), F.col("n").alias("m"))
-    sure = learned.join(back, ["older", "newer"], "left").where((F.col("n") >= min_count) & (F.col("n") >= min_share * (F.col("n") + F.coalesce("m", F.lit(0))))).select("older", "newer")
+    sure = transitive(learned.join(back, ["older", "newer"], "left").where((F.col("n") >= min_count) & (F.col("n") >= min_share * (F.col("n") + F.coalesce("m", F.lit(0))))))
     a = values.select(group, F.col(value).alias("older"), F.col("at").alias("older_at"))
     b = values.select(group, F.col(value).alias("newer"), F.col("at").alias("newer_at"))
     # only learned pairs meet, so no group is paired with itself in full
     beaten = a.join(sure, "older").join(b, [group, "newer"]).where("older_at is null or newer_at is null").select(group, F.col("older").alias(value), F.lit(True).alias("beaten")).distinct()
-    ranked = values.join(beaten, [group, value], "left").groupBy(group).agg(
-        F.max(F.struct(F.coalesce(~F.col("beaten"), F.lit(True)).alias("free"), F.col("at").alias("at"), F.col(value).alias("v"))).alias("best"),
-        F.max_by(value, F.struct(F.col("at"), F.col(value))).alias("by_time"), F.count(F.lit(1)).alias("n"),
+    last = values.groupBy(group).agg(F.max("at").alias("last"))
+    rank = values.join(beaten, [group, value], "left").join(last, group).select(
+        group, value, F.coalesce("beaten", F.lit(False)).alias("beaten"), F.col("at").isNull().alias("untimed"), F.coalesce(F.col("at") < F.col("last"), F.lit(False)).alias("early"),
+    )
+    ranked = rank.groupBy(group).agg(
+        F.min(F.struct((F.col("beaten") | F.col("early")).alias("followed"), "untimed", "early", F.col(value).alias("v"))).alias("best"),
+        F.min(F.struct("untimed", "early", F.col(value).alias("v"))).alias("by_time"), F.count(F.lit(1)).alias("n"),
     )
-    basis = F.when(F.col("n") == 1, F.lit("only")).when(F.col("best.v") == F.col("by_time"), F.lit("time")).otherwise(F.lit("precedence"))
+    basis = F.when(F.col("n") == 1, F.lit("only")).when(F.col("best.v") == F.col("by_time.v"), F.lit("time")).otherwise(F.lit("precedence"))
     return ranked.select(group, F.col("best.v").alias(value), basis.alias("basis"))
