@@ -307,6 +307,21 @@ def rul8_precaution_groups(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(grp.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_PRECAUTION_LISTS = ("prevention", "response", "storage", "disposal")
+_RUL8_ALL = " union all ".join(f"select '{p}' as list, unnest(precautionaryStatements.{p}) as s from msds_sample" for p in _PRECAUTION_LISTS)
+
+
+@query(f"""select list, grp, count(*) as n from (select list, case substr(regexp_extract(s, 'P[0-9]{{3}}'), 2, 1) when '1' then 'prevention' when '2' then 'prevention' when '3' then 'response' when '4' then 'storage' when '5' then 'disposal' else 'none' end as grp
+  from ({_RUL8_ALL}) where s is not null) group by list, grp""")
+def rul8_precaution_groups_all(spark: SparkSession, d: str) -> DataFrame:
+    """As rul8_precaution_groups, over all four lists of precautionary statements instead of prevention only."""
+    parts = F.array(*[F.struct(F.lit(p).alias("list"), F.col(f"precautionaryStatements.{p}").alias("xs")) for p in _PRECAUTION_LISTS])
+    s = table(spark, d, "msds_sample").select(F.explode(parts).alias("p")).select("p.list", F.explode("p.xs").alias("s")).where("s is not null")
+    digit = F.substring(F.regexp_extract("s", "P[0-9]{3}", 0), 2, 1)
+    grp = F.when(digit.isin("1", "2"), "prevention").when(digit == "3", "response").when(digit == "4", "storage").when(digit == "5", "disposal").otherwise("none")
+    return s.groupBy("list", grp.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _PPE = {
     "goggles": ["보안경", "고글", "안면보호구", "보안면", "goggle", "safetyglasses", "faceshield"], "gloves": ["장갑", "glove"],
     "mask": ["마스크", "호흡보호구", "호흡용보호", "호흡기보호구", "방독", "공기호흡기", "respirator", "scba"],
