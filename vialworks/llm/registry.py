@@ -46,8 +46,8 @@ def p7_statements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _companies(spark: SparkSession, d: str) -> DataFrame:
-    both = table(spark, d, "msds_sample").select(F.col("supplier").alias("name")).unionByName(table(spark, d, "msds_overrides").select(F.col("supplierCandidate").alias("name")))
-    return names.link_names(both, "name")
+    both = table(spark, d, "msds_sample").select(F.col("supplier").alias("name"), "id").unionByName(table(spark, d, "msds_overrides").select(F.col("supplierCandidate").alias("name"), F.col("productId").alias("id")))
+    return names.link_names(both, "name", witness="id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
