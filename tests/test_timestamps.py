@@ -64,3 +64,67 @@ def test_unknown_zone_is_estimated(spark):
     assert {r.utc_us for r in out} == {us(2021, 5, i, 1) for i in range(1, 8)}
     empty = spark.createDataFrame([], "s string, l long, i long")
     assert estimate_zones(empty, "s", "l", "i", ["UTC"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("2024-03-05 10:00 Asia/Seol", (us(2024, 3, 5, 10), None)), ("2024-03-05 10:00 asia/seoul", (us(2024, 3, 5, 10), "Asia/Seoul")), ("2024-03-05 10:00 IST", (us(2024, 3, 5, 10), None)),
+        ("2024-03-05 10:00 +19:00", (us(2024, 3, 5, 10), None)), ("2024-03-05 10:00 UTC+9", (us(2024, 3, 5, 1), "UTC")), ("2024-03-05T10", (us(2024, 3, 5, 10), None)), ("2024년 3월 5일 오후 2시", (us(2024, 3, 5, 14), None)),
+        ("2024-03-05 12:10 America/Chicago", (us(2024, 3, 5, 12, 10), "America/Chicago")), ("10:30 2024-03-05", (us(2024, 3, 5, 10, 30), None)), ("오후 3:05, 2024.03.05", (us(2024, 3, 5, 15, 5), None)), ("10:30 +09:00 2024-03-05", (us(2024, 3, 5, 1, 30), "UTC")), ("March 5, 2024 10 PM", (us(2024, 3, 5, 22), None)),
+        ("1709600000000000", (1709600000000000, "UTC")), ("1709600000000000123", (1709600000000000, "UTC")),
+    ],
+)
+def test_zones_nobody_knows_and_other_forms(text, want):
+    assert read_timestamp(text, "YMD") == want
+
+
+def test_bad_zones_end_no_job(spark):
+    rows = [("kr", "2024-03-05 10:00 Asia/Seol"), ("kr", "2024-03-05 10:00 Moon/Base"), ("bad", "2024-03-05 10:00")]
+    df = spark.createDataFrame(rows, "dataSource string, v string")
+    zones = spark.createDataFrame([*ZONES, ("bad", "Asia/Seol", "YMD")], "dataSource string, zone_id string, date_order string")
+    got = [r.utc_us for r in normalise_timestamps(df, "v", "dataSource", zones).orderBy("dataSource").collect()]
+    assert got == [us(2024, 3, 5, 10), us(2024, 3, 5, 1), us(2024, 3, 5, 1)]
+
+
+def test_offset_histories_are_told_apart_by_arrival(spark):
+    # a reading every nine hours over three years, ingested within four minutes: winter and summer time both count
+    at = [dt.datetime(2019, 1, 1) + dt.timedelta(hours=9 * i) for i in range(2900)]
+    from zoneinfo import ZoneInfo
+
+    rows = []
+    for s, z in (("b", "Europe/Berlin"), ("c", "America/Chicago"), ("k", "Asia/Seoul")):
+        for i, t in enumerate(at):
+            local = t.replace(tzinfo=dt.UTC).astimezone(ZoneInfo(z)).replace(tzinfo=None)
+            rows.append((s, us(*local.timetuple()[:6]), us(*t.timetuple()[:6]) + (i % 5) * 60_000_000))
+    df = spark.createDataFrame(rows, "s string, l long, i long")
+    got = {r.s: (r.zone_id, r.violations, r.evidence > 0) for r in estimate_zones(df, "s", "l", "i").collect()}
+    assert got == {"b": ("Europe/Berlin", 0, True), "c": ("America/Chicago", 0, True), "k": ("Asia/Seoul", 0, True)}
+
+
+def test_offset_histories_are_told_apart_by_sequence(spark):
+    # no arrival times: readings of an unknown source between those of a known one, ten minutes apart
+    at = [dt.datetime(2019, 1, 1) + dt.timedelta(hours=7 * i) for i in range(1200)]
+    from zoneinfo import ZoneInfo
+
+    rows = []
+    for i, t in enumerate(at):
+        local = t.replace(tzinfo=dt.UTC).astimezone(ZoneInfo("Europe/Berlin")).replace(tzinfo=None)
+        rows += [("known", None, us(*t.timetuple()[:6]) - 600_000_000, 3 * i), ("open", us(*local.timetuple()[:6]), None, 3 * i + 1), ("known", None, us(*t.timetuple()[:6]) + 600_000_000, 3 * i + 2)]
+    df = spark.createDataFrame(rows, "s string, l long, k long, n long").selectExpr("*", "'g' as g")
+    got = {r.s: (r.zone_id, r.violations) for r in estimate_zones(df, "s", "l", None, None, "k", (["g"], ["n"])).collect()}
+    assert got["open"] == ("Europe/Berlin", 0)
+    assert estimate_zones(df.where("s = 'known'"), "s", "l", None, ["UTC"], "k", (["g"], ["n"])).collect()[0].evidence == 0
+
+
+def test_previous_is_lag(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from vialworks.operators.ordered import previous
+
+    df = spark.range(4000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 50)) as g", "pmod(hash(id), 500) as o", "id", "if(id % 7 = 0, null, id) as v")
+    w = Window.partitionBy("g").orderBy("o", "id")
+    want = {(r.id, r.p) for r in df.withColumn("p", F.lag("v").over(w)).collect()}
+    assert {(r.id, r.prev.v if r.prev else None) for r in previous(df, ["g"], ["o", "id"], ["v"]).collect()} == want
+    assert previous(df.limit(0), ["g"], ["o"], ["v"]).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vialworks.operators import profile, segmentation
-from vialworks.operators.timestamps import estimate_zones, normalise_timestamps
+from vialworks.operators.timestamps import estimate_zones, normalise_timestamps, read_local, to_utc_us
 from vialworks.sources.tables import table
 
 #: The forms of TESTDATA.md, problem 5.
@@ -32,15 +32,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """The zone that the documents' arrival times suggest for each source, from msds_overrides' review times."""
-    o = normalise_timestamps(
-        table(spark, d, "msds_overrides").select("dataSource", "revisionDateCandidate", "reviewedAt"), "revisionDateCandidate", "dataSource",
-        table(spark, d, "data_source").withColumn("zone_id", F.lit("UTC")), out="local_us",
-    )
-    return estimate_zones(
-        o.where("local_us is not null and reviewedAt is not null").withColumn("at_us", F.unix_micros(F.col("reviewedAt").cast("timestamp"))),
-        "dataSource", "local_us", "at_us", ["UTC", "Asia/Seoul", "Europe/Berlin", "America/Chicago"],
+    """The zone that each source would get if its own were withheld, from arrival times and from the order of deliveries
+    of an entry, beside the given one. Values that name a zone aren't local times; as neighbours their instants count."""
+    zones = table(spark, d, "data_source")
+    rows = read_local(table(spark, d, "msds_sample").select("row_no", "id", "load_no", "dataSource", "revisionDate", "loaded_at"), "revisionDate", "dataSource", zones)
+    named = F.coalesce("__read.zone", "__zone")
+    rows = rows.select(
+        "row_no", "id", "load_no", "dataSource", F.when(F.col("__read.zone").isNull(), F.col("__read.local_us")).alias("local_us"),
+        to_utc_us(F.col("__read.local_us"), named).alias("known_us"), F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("at_us"),
     )
+    found = estimate_zones(rows, "dataSource", "local_us", "at_us", None, "known_us", (["id"], ["load_no", "row_no"]))
+    return found.join(zones.select("dataSource", F.col("zone_id").alias("given_zone")), "dataSource", "left")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

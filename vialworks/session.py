@@ -24,11 +24,13 @@ def local_session(app: str = "vialworks", cpus: str = "*", partitions: int = 8)
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder the cluster names.
 
-    `spark.checkpoint.dir` is used as it stands. Only where it is unset and no folder has been set by code
-    (local tests), a temporary folder is taken.
+    `spark.checkpoint.dir` is used as it stands. Where it is unset and no folder has been set by code, a local session
+    takes a temporary folder; on a cluster, whose executors don't share one, that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vialworks-checkpoint-"))
     return df.checkpoint(eager=eager)
