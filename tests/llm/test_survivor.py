@@ -15,12 +15,38 @@ def test_usable_values(spark):
     assert df.where(survivor.stand_in(F.col("v")) != F.col("want")).count() == 0
 
 
-def test_choice(spark):
+def field(at=None, **more):
+    return survivor.Field(**{"value": F.col("v"), "usable": F.col("v").isNotNull(), "before": (-F.col("rank"),), "at": F.lit(None).cast("int") if at is None else F.col(at), "after": (-F.col("row_no"),), **more})
+
+
+def test_survivors(spark):
     rows = [("a", 1, None, 2), ("a", 2, "x", 2), ("a", 3, "y", 1), ("a", 4, "z", 1), ("b", 5, None, 1), ("b", 6, None, 1), ("c", 7, "only", 1), (None, 8, "q", 1), (None, 9, "r", 1)]
     df = spark.createDataFrame(rows, "id string, row_no long, v string, rank int").withColumn("field_name", F.lit("clash"))
-    got = survivor.choose(df, "id", "row_no", {"v": (F.col("v").isNotNull(), [-F.col("rank"), -F.col("row_no")])})
+    got = survivor.survivors(df, "id", "row_no", {"v": field()})
     assert [(r.id, r.field_name, r.row_no) for r in got.collect()] == [("a", "v", 3)]
-    assert survivor.choose(df.limit(0), "id", "row_no", {"v": (F.col("v").isNotNull(), [-F.col("row_no")])}).count() == 0
+    assert survivor.survivors(df.limit(0), "id", "row_no", {"v": field()}).count() == 0
+
+
+def test_survivors_by_precedence(spark):
+    order = spark.createDataFrame([("z", "m"), ("m", "a"), ("z", "a"), ("p", "q"), ("q", "p")], "older string, newer string")
+    rows = [
+        ("chain", 1, "z", None, 1), ("chain", 2, "a", None, 1), ("timed", 3, "z", 5, 1), ("timed", 4, "a", 4, 1), ("half", 5, "z", 5, 1), ("half", 6, "a", None, 1), ("trust", 7, "z", None, 1), ("trust", 8, "a", None, 2),
+        ("none", 9, "s", None, 1), ("none", 10, "t", None, 1), ("loop", 11, "q", None, 1), ("loop", 12, "p", None, 1), ("lone", 13, "a", None, 1),
+    ]
+    df = spark.createDataFrame(rows, "id string, row_no long, v string, t int, rank int")
+    fields = {"v": field("t"), "w": field("t")}
+    got = {(r.id, r.field_name): r.row_no for r in survivor.survivors(df, "id", "row_no", fields, {"v": order}).collect()}
+    assert {k[0]: n for k, n in got.items() if k[1] == "v"} == {"chain": 2, "timed": 3, "half": 6, "trust": 7, "none": 9, "loop": 11}
+    assert {k[0]: n for k, n in got.items() if k[1] == "w"} == {"chain": 1, "timed": 3, "half": 5, "trust": 7, "none": 9, "loop": 11}
+    assert survivor.survivors(df.limit(0), "id", "row_no", fields, {"v": order}).count() == 0
+
+
+def test_basis_says_what_decided(spark):
+    learned = spark.createDataFrame([("u", "v", 5)], "older string, newer string, n long")
+    rows = [("tie", "b", None), ("tie", "c", None), ("known", "u", None), ("known", "v", None), ("same", "b", 3), ("same", "a", 3)]
+    df = spark.createDataFrame(rows, "g string, v string, t int")
+    got = {r.g: (r.v, r.basis) for r in survivor.latest_values(df, "g", "v", "t", learned).collect()}
+    assert got == {"tie": ("b", "smallest"), "known": ("v", "precedence"), "same": ("a", "time")}
 
 
 def test_currency(spark):
