@@ -1,9 +1,10 @@
 """Statements read from scanned pages: which items the scan damaged, and the repaired statements.
 
 Method: sequence labelling of the lines of each list by a hidden Markov model (statements.Labeller) as header, body
-or break, from layout features: page marks, the share of words out of the corpus' lexicon, whether the line starts
-as statements start, ends in a stop, is short, and whether it continues the words before it. Statements are put
-together from the labels; damaged words become the nearest word of the lexicon.
+or break, the latter two whole or damaged, from layout features: page marks, place in the list, repetition of the line
+in the corpus, line breaks inside an item, the share of words out of the corpus' lexicon, stray marks, whether the line
+starts as statements start, ends in a stop, is short, and whether it continues the words before it. Every case comes
+from the labels. Statements are put together from them; damaged words become the nearest word of the lexicon.
 
 Defined results: null and empty items are no case and give no statement. A statement that is merely cut off is no
 case. A list of headers only gives no statement. Statements are numbered from 1 within their list.
@@ -34,20 +35,16 @@ _NUMBERS = re.compile(r"\W*\d+\W+\d+\W*")
 
 def damaged(statements: list[str | None], reader: Reader) -> list[int]:
     """The numbers of the items of a list that must be repaired, joined with a neighbour or removed."""
-    numbers, _, lines, labels = reader.read(statements)
+    numbers, _, _, labels = reader.read(statements)
     out = set()
-    before = last = None
-    for no, line, y in zip(numbers, lines, labels, strict=True):
-        if y == HEAD or line.foreign or line.noisy or no == last:
+    before = None
+    for no, (y, bad) in zip(numbers, labels, strict=True):
+        if y == HEAD or bad:
             out.add(no)
         if y == MORE and before is not None:
             out.update((no, before))
         if y != HEAD:
             before = no
-        last = no
-    for no, text in enumerate(statements, 1):
-        if text and not text.isprintable() and no not in out and LINES.search(text):
-            out.add(no)
     return sorted(out)
 
 
@@ -154,14 +151,14 @@ def page_span(text: str, model: Model, labeller: Labeller) -> tuple[int, int] |
             if foreign:
                 c = [DIGITS.sub("0", x) for x in (body[: spans[i][0]].strip(), part, body[spans[j - 1][1] :].strip())]
                 lines = [read_line(x, k == 0 and m is not None, model) for k, x in enumerate(c) if x]
-                if labeller.label(lines, model)[1 if c[0] else 0] != HEAD:
+                if labeller.label(lines, model)[1 if c[0] else 0][0] != HEAD:
                     continue
             found = (score, strange[j] - strange[i], i - j, at + spans[i][0], at + spans[j - 1][1])
             best = max(best, found) if best else found
     return best[3:] if best else None
 
 
-def _without_pages(text: str, reader: Reader) -> str:
+def without_pages(text: str, reader: Reader) -> str:
     """A line without the page text that stands inside it."""
     low = text.lower()
     if not ("/" in low or "쪽" in low or "페이지" in low or "page" in low or "sheet" in low or "p." in low or "-" in low or "[" in low or "|" in low):
@@ -180,12 +177,12 @@ def _without_pages(text: str, reader: Reader) -> str:
 def reassemble(statements: list[str | None], reader: Reader) -> list[str]:
     """The clean statements of a list: headers removed, in lines of their own or inside a line, broken lines joined,
     words repaired."""
-    _, texts, lines, labels = reader.read(statements)
-    bare = [t if y == HEAD else _without_pages(t, reader) for t, y in zip(texts, labels, strict=True)]
+    _, texts, _, labels = reader.read(statements)
+    bare = [t if y == HEAD else without_pages(t, reader) for t, (y, _) in zip(texts, labels, strict=True)]
     if bare != texts:
-        _, texts, lines, labels = reader.read(bare)
+        _, texts, _, labels = reader.read(bare)
     out: list[str] = []
-    for text, line, y in zip(texts, lines, labels, strict=True):
+    for text, (y, _) in zip(texts, labels, strict=True):
         if y == HEAD:
             continue
         if y == MORE and out:
@@ -203,8 +200,8 @@ def reassemble(statements: list[str | None], reader: Reader) -> list[str]:
     return [x for x in (_mend(t, reader.model) for t in out) if x]
 
 
-def _run(df: DataFrame, key: str, fields: dict[str, Column], sample: int, schema: T.StructType, each) -> DataFrame:
-    model, labeller = train(df, key, fields, sample)
+def _run(df: DataFrame, key: str, fields: dict[str, Column], sample: int, schema: T.StructType, each, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
+    model, labeller = trained or train(df, key, fields, sample)
     shared = df.sparkSession.sparkContext.broadcast((model, labeller))  # bounded by the model's shares
     names = list(fields)
     arrow = to_arrow_schema(schema)
@@ -223,11 +220,11 @@ def _schema(df: DataFrame, key: str, *more: tuple[str, T.DataType]) -> T.StructT
     return T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("field_name", T.StringType()), *(T.StructField(n, t) for n, t in more)])
 
 
-def find_damaged(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_000) -> DataFrame:
-    """(key, field_name, item_no): every item that the scan damaged."""
-    return _run(df, key, fields, sample, _schema(df, key, ("item_no", T.IntegerType())), lambda xs, r: [(i,) for i in damaged(xs, r)])
+def find_damaged(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_000, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
+    """(key, field_name, item_no): every item that the scan damaged. trained: a model that `train` has made already."""
+    return _run(df, key, fields, sample, _schema(df, key, ("item_no", T.IntegerType())), lambda xs, r: [(i,) for i in damaged(xs, r)], trained)
 
 
-def clean_statements(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_000) -> DataFrame:
+def clean_statements(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_000, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
     """(key, field_name, statement_no, statement): the repaired statements of every list."""
-    return _run(df, key, fields, sample, _schema(df, key, ("statement_no", T.IntegerType()), ("statement", T.StringType())), lambda xs, r: list(enumerate(reassemble(xs, r), 1)))
+    return _run(df, key, fields, sample, _schema(df, key, ("statement_no", T.IntegerType()), ("statement", T.StringType())), lambda xs, r: list(enumerate(reassemble(xs, r), 1)), trained)

@@ -44,11 +44,6 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def core(text: str) -> str:
-    """A statement without its code, its digits masked."""
-    return DIGITS.sub("0", CODE.sub("", text.strip()))
-
-
 def sentences(toks: list[str]) -> list[list[str]]:
     """The token lists of the sentences, each with its stop if it has one."""
     out, at = [], 0
@@ -70,6 +65,7 @@ class Model:
     ends: dict[str, int] = field(default_factory=dict)
     inner: dict[str, int] = field(default_factory=dict)
     starts: dict[str, int] = field(default_factory=dict)
+    repeated: frozenset[str] = frozenset()  # open lines with a page mark that recur
     word_share: float = 5e-4
 
     def __post_init__(self) -> None:
@@ -176,17 +172,21 @@ def learn(texts: DataFrame, item: str = "item", min_share: float = 5e-5, word_sh
         yield pd.DataFrame({"g": list(sums), "n": list(sums.values())})
 
     grams = checkpoint(corpus.mapInPandas(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")))
+    heads = texts.select(F.trim(item).alias("t")).where(~F.col("t").rlike("[.!?。]$") & (F.length("t") <= 120) & F.col("t").rlike(PAGE_JVM)).groupBy(F.regexp_replace("t", "[0-9]+", "0").alias("t")).agg(F.count(F.lit(1)).alias("n"))
     total = grams.where("g = 'N'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(2, min_share * total)
     parts: dict[str, dict[str, int]] = {"W": {}, "E": {}, "I": {}, "S": {}}
     for r in grams.where((F.col("n") >= least) & (F.col("g") != "N")).toLocalIterator():
         parts[r.g[0]][r.g[1:]] = r.n
-    return Model(total, parts["W"], parts["E"], parts["I"], parts["S"], word_share)
+    repeated = frozenset(r.t for r in heads.where(F.col("n") >= max(5, least)).toLocalIterator())
+    return Model(total, parts["W"], parts["E"], parts["I"], parts["S"], repeated, word_share)
 
 
 #: Shapes of page marks.
 PAGE = re.compile(r"(?i)\bpage\s*\d|\bp\.\s*\d|\bsheet\s+\d|\d+\s*/\s*\d+\s*(?:$|페이지|쪽)|제?\s*\d+\s*(?:쪽|페이지)(?![가-힣])|쪽\s*\d+|^\W*\d+\W*$|-\s+\d+\s+-|\[\d+\]|\|\s*\d+\s*$")
 PAGE_JVM = r"(?i)\bpage\s*[0-9]|\bp\.\s*[0-9]|\bsheet\s+[0-9]|[0-9]+\s*/\s*[0-9]+\s*(?:$|페이지|쪽)|제?\s*[0-9]+\s*(?:쪽|페이지)(?![가-힣])|쪽\s*[0-9]+|^\W*[0-9]+\W*$|-\s+[0-9]+\s+-|\[[0-9]+\]|\|\s*[0-9]+\s*$"
+#: A line of numbers and marks between them.
+NUMBERS_ONLY = re.compile(r"[\W\d]*\d[\W\d]*")
 LINES = re.compile(r"\r\n|[\n\r\f\v]")
 NOISE = re.compile(r"[\r\n\f\v\t\u00ad\u200b]|[^\W\d_]?[~|@!`¦°■□¬$*^<>=\\{}#]|\S\s{2,}\S|\s[.,;:]|(?<!\.)\.\.(?!\.)|…\s*\S|\s-\s|�\s*\S")
 
@@ -206,7 +206,8 @@ class Line:
     sure: bool  # the same, under a strict threshold
     starter: bool
     noisy: bool  # holds marks or blanks that statements don't have
-    features: tuple
+    headish: bool  # may be a page's head or foot
+    features: tuple  # by KINDS, without those that depend on the list
 
 
 TAIL = re.compile(r"\s*(?:\.{2,}|…|�)+\s*$")
@@ -228,8 +229,8 @@ def read_line(c: str, coded: bool, model: Model) -> Line:
     odd = foreign or "  " in c or " ." in c or " ," in c or " ;" in c or " :" in c or ".." in c or not c.isprintable()
     starter = bool(toks) and toks[0] in model.starters
     if not odd and toks and toks[-1] in STOPS and (len(toks) < 2 or toks[-2] != "0"):  # a plain whole statement
-        features = (("foreign", 0), ("page", False), ("starter", starter or coded), ("closed", True), ("short", len(toks) < 6))
-        return Line(coded, tuple(toks), tuple(toks), 0, False, True, False, True, True, starter, False, features)
+        features = (0, False, False, coded, starter or coded, True, len(toks) < 6, False)
+        return Line(coded, tuple(toks), tuple(toks), 0, False, True, False, True, True, starter, False, False, features)
     plain = tokens(_unmarked(c)) if odd and _MARK.search(c) else toks
     marked = bool(toks) and (toks[-1] in ("…", "..", "�") or toks[-1].startswith(".."))
     fixed = [t if t in lexicon else model.repair(t) or t for t in plain] if odd else toks
@@ -245,12 +246,13 @@ def read_line(c: str, coded: bool, model: Model) -> Line:
     paged = not closed and PAGE.search(c) is not None
     if foreign and (marked or not (closed or ended or (paged and toks[-1] not in model.prefixes))):  # without a word that may be a part
         foreign = sum(t not in lexicon and t not in STOPS for t in toks[: -2 if marked else -1])
-    paged = paged and foreign > 0  # heads and feet hold words or marks that statements don't
+    paged = paged and (foreign > 0 or NUMBERS_ONLY.fullmatch(c) is not None)  # heads and feet hold words or marks that statements don't
     starter = bool(fixed) and fixed[0] in model.starters
     share = foreign / max(1, len(toks))
-    features = (("foreign", 0 if not foreign else 1 if share < 0.34 else 2), ("page", paged), ("starter", starter or coded), ("closed", closed), ("short", len(toks) < 6))
     noisy = bool(odd) and NOISE.search(TAIL.sub("", c)) is not None
-    return Line(coded, tuple(toks), tuple(fixed), foreign, paged, closed, marked, ended, sure, starter, noisy, features)
+    headish = (paged or foreign > 0) and not coded
+    features = (0 if not foreign else 1 if share < 0.34 else 2, noisy, paged, coded, starter or coded, closed, len(toks) < 6, headish and c in model.repeated)
+    return Line(coded, tuple(toks), tuple(fixed), foreign, paged, closed, marked, ended, sure, starter, noisy, headish, features)
 
 
 def bridged(a: Line, b: Line, model: Model) -> bool:
@@ -258,69 +260,154 @@ def bridged(a: Line, b: Line, model: Model) -> bool:
     if not a.fixed or not b.fixed or a.closed or a.marked or b.coded:
         return False
     gram = f"{' '.join(a.fixed[-2:])} {b.fixed[0]}"
-    return gram in model.inner or gram in model.ends
+    if gram in model.inner or gram in model.ends:
+        return True
+    # a sentence of which only the first word stands in a
+    return len(a.fixed) > 1 and a.fixed[-2] in STOPS and a.fixed[-1] in model.starters and (f"{a.fixed[-1]} {b.fixed[0]}") in model.inner
 
 
 HEAD, BODY, MORE = "header", "body", "break"
-STATES = (HEAD, BODY, MORE)
-KINDS = {"foreign": (0, 1, 2), "page": (False, True), "starter": (False, True), "closed": (False, True), "short": (False, True), "bridge": (False, True)}
-
-
-def guess(line: Line, open_before: bool, bridge: bool) -> str:
-    """The label that plain rules give to a line; the counts of these are what the model is fitted to."""
-    if line.paged and not line.coded and not line.closed and (4 * line.foreign >= len(line.toks) or len(line.toks) <= 5):
-        return HEAD
-    return MORE if not line.coded and (bridge or (open_before and not line.starter)) else BODY
+#: A line is a page's head or foot, the start of a statement, or goes on with one; the latter two whole or damaged.
+STATES = ((HEAD, False), (BODY, False), (BODY, True), (MORE, False), (MORE, True))
+#: trace: how many words are out of the lexicon (none, some, many), and a + where marks or line breaks show.
+KINDS = {
+    "trace": ("0", "1", "2", "0+", "1+", "2+"), "inside": (False, True), "page": (False, True), "coded": (False, True), "starter": (False, True),
+    "closed": (False, True), "short": (False, True), "repeated": (False, True), "place": ("only", "first", "inner", "last"), "bridge": (False, True),
+}
+_WHOLE = (0.9997, 0.0001, 0.0001, 0.00005, 0.00003, 0.00002)
+_DAMAGED = (0.002, 0.35, 0.1, 0.35, 0.15, 0.048)
+_BODY = ((0.98, 0.02), (0.99, 0.01), (0.7, 0.3), (0.05, 0.95), (0.08, 0.92), (0.7, 0.3), (0.97, 0.03), (0.2, 0.25, 0.3, 0.25), (0.98, 0.02))
+_MORE = ((0.5, 0.5), (0.99, 0.01), (0.999, 0.001), (0.75, 0.25), (0.3, 0.7), (0.5, 0.5), (0.99, 0.01), (0.001, 0.001, 0.5, 0.498), (0.25, 0.75))
+#: What is known of the states before anything is seen: the chance of a feature, by its values in the order of KINDS.
+PRIOR = {
+    (HEAD, False): ((0.01, 0.15, 0.4, 0.01, 0.13, 0.3), (0.6, 0.4), (0.08, 0.92), (0.999, 0.001), (0.8, 0.2), (0.98, 0.02), (0.3, 0.7), (0.5, 0.5), (0.1, 0.3, 0.3, 0.3), (0.97, 0.03)),
+    (BODY, False): (_WHOLE, *_BODY), (BODY, True): (_DAMAGED, *_BODY), (MORE, False): (_WHOLE, *_MORE), (MORE, True): (_DAMAGED, *_MORE),
+}
+#: The chance of a state after a statement that has ended, and after one that is open.
+PRIOR_MOVE = {False: (0.03, 0.9, 0.05, 0.01, 0.01), True: (0.06, 0.44, 0.05, 0.3, 0.15)}
+#: How far back, over headers, the line may lie that a line goes on with.
+REACH = 4
 
 
 @dataclass
 class Labeller:
     """A hidden Markov model over the lines of a list of statements, decoded by Viterbi.
 
-    States: header (text of the page's head or foot), body (a statement starts), break (the line goes on with the
-    statement before it). Whether the statement before is still open is carried in the states, so a header between
-    two halves doesn't part them. Emissions and transitions are logarithms of counts with one added, from `fit`.
+    A state is a line's label (STATES) and the line that a statement before it ended with, so a header between two
+    halves doesn't part them, and whether a line goes on with the words before it is judged for each way to read the
+    lines. A state's chance depends on the label before and on whether the statement before is still open; what a line
+    shows (KINDS: layout, place in the list, repetition in the corpus, words) depends on its state. Both are learned
+    from unlabelled lists by Baum-Welch, starting from PRIOR, which also counts as lines seen.
     """
 
-    emit: dict[tuple, float] = field(default_factory=dict)
-    move: dict[tuple[str, bool], float] = field(default_factory=dict)
-    memory: dict[tuple, list[str]] = field(default_factory=dict)
+    emit: dict[tuple, tuple[float, ...]] = field(default_factory=dict)  # logarithms by (state number, kind number)
+    move: dict[tuple[int, bool], tuple[float, ...]] = field(default_factory=dict)  # by (state before or -1, open)
+    memory: dict[tuple, list[tuple[str, bool]]] = field(default_factory=dict)
+    seen: dict[tuple, tuple[float, ...]] = field(default_factory=dict)
+
+    @classmethod
+    def prior(cls) -> Labeller:
+        m = cls()
+        m.emit = {(y, k): tuple(math.log(p) for p in PRIOR[s][k]) for y, s in enumerate(STATES) for k in range(len(KINDS))}
+        m.move = {(y, o): tuple(math.log(p) for p in PRIOR_MOVE[o]) for y in range(-1, len(STATES)) for o in (False, True)}
+        return m
 
     @classmethod
-    def fit(cls, lists: list[list[Line]], model: Model) -> Labeller:
-        # each state begins with a few lines of its plain kind, so a state that the sample lacks isn't likely everywhere
-        plain = {HEAD: (2, True, False, False, True, False), BODY: (0, False, True, True, False, False), MORE: (0, False, False, True, False, True)}
-        seen: dict[tuple, int] = {}
-        for y, values in plain.items():
-            seen["n", y] = 20
-            for name, v in zip(KINDS, values, strict=True):
-                seen["emit", y, (name, v)] = 20
-        for lines in lists:
-            before: Line | None = None
-            for line in lines:
-                open_before = before is not None and not before.ended and not before.marked
-                bridge = before is not None and bridged(before, line, model)
-                y = guess(line, open_before, bridge)
-                for key in (("n", y), ("open", open_before), ("move", y, open_before), *(("emit", y, f) for f in (*line.features, ("bridge", bridge)))):
-                    seen[key] = seen.get(key, 0) + 1
-                if y != HEAD:
-                    before = line
-        emit, move = {}, {}
-        for y in STATES:
-            for name, kinds in KINDS.items():
-                for v in kinds:
-                    emit[y, (name, v)] = math.log((seen.get(("emit", y, (name, v)), 0) + 1) / (seen.get(("n", y), 0) + len(kinds)))
-            for o in (False, True):
-                move[y, o] = math.log((seen.get(("move", y, o), 0) + 1) / (seen.get(("open", o), 0) + 3))
-        return cls(emit, move)
-
-    def label(self, lines: list[Line], model: Model) -> list[str]:
-        bridges, before = [], None
-        for line in lines:
-            bridges.append(before is not None and bridged(before, line, model))
-            if not (line.paged and guess(line, False, False) == HEAD):
-                before = line
-        key = tuple((x.features, x.ended or x.marked, b) for x, b in zip(lines, bridges, strict=True))
+    def fit(cls, lists: list[tuple[list[Line], list[int]]], model: Model, rounds: int = 8, weight: float = 0.5) -> Labeller:
+        """Baum-Welch over the different readings of the lists, each counted as often as it occurs. The prior weighs as
+        much as `weight` lines in every line of a state that is expected, and 50 lines at least."""
+        m = cls.prior()
+        counts: dict[tuple, int] = {}
+        for lines, broken in lists:
+            if lines:
+                key = m.key(lines, broken, model)
+                counts[key] = counts.get(key, 0) + 1
+        for _ in range(rounds):
+            emit = {k: [0.0] * len(v) for k, v in m.emit.items()}
+            move = {k: [0.0] * len(v) for k, v in m.move.items()}
+            for key, n in counts.items():
+                m._expect(key, n, emit, move)
+            new = cls()
+            for (y, k), seen in emit.items():
+                w = max(50.0, weight * sum(seen))
+                new.emit[y, k] = tuple(math.log((c + w * p) / (sum(seen) + w)) for c, p in zip(seen, PRIOR[STATES[y]][k], strict=True))
+            for (y, o), seen in move.items():
+                new.move[y, o] = tuple(math.log((c + 20 * p) / (sum(seen) + 20)) for c, p in zip(seen, PRIOR_MOVE[o], strict=True))
+            m = new
+        return m
+
+    @staticmethod
+    def key(lines: list[Line], broken: list[int], model: Model) -> tuple:
+        """What the labels of a list depend on: of each line its features, whether it ends a statement, and whether it
+        goes on with each of the lines before it that may be the last of a statement."""
+        out = []
+        n = len(lines)
+        for t, line in enumerate(lines):
+            bridges = []
+            for i in range(t - 1, max(-1, t - 1 - REACH), -1):
+                bridges.append(bridged(lines[i], line, model))
+                if not lines[i].headish:
+                    break
+            place = "only" if n == 1 else "first" if t == 0 else "last" if t == n - 1 else "inner"
+            f = line.features
+            trace = f"{f[0]}+" if f[1] or broken[t] else str(f[0])
+            out.append(((trace, broken[t] > 1, *f[2:], place), line.ended or line.marked, tuple(bridges)))
+        return tuple(out)
+
+    def _at(self, features: tuple, bridge: bool) -> tuple[float, ...]:
+        got = self.seen.get((features, bridge))
+        if got is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            at = [kinds.index(v) for kinds, v in zip(KINDS.values(), (*features, bridge), strict=True)]
+            got = self.seen[features, bridge] = tuple(sum(self.emit[y, k][v] for k, v in enumerate(at)) for y in range(len(STATES)))
+        return got
+
+    def _steps(self, key: tuple, t: int, last: int) -> tuple[tuple[float, ...], bool]:
+        """What line t shows by state, and whether the statement that line `last` belongs to is open."""
+        features, _, bridges = key[t]
+        back = t - 1 - last
+        return self._at(features, last >= 0 and back < len(bridges) and bridges[back]), last >= 0 and not key[last][1]
+
+    def _expect(self, key: tuple, n: int, emit: dict, move: dict) -> None:
+        """Adds the expected counts of a list that occurs n times (forward and backward pass over states and last lines)."""
+        ahead: list[dict[tuple[int, int], float]] = []
+        scales = []
+        now = {(-1, -1): 1.0}
+        for t in range(len(key)):
+            new: dict[tuple[int, int], float] = {}
+            for (y0, last), p in now.items():
+                at, o = self._steps(key, t, last)
+                for y, m in enumerate(self.move[y0, o]):
+                    s = (y, last if y == 0 else t)
+                    new[s] = new.get(s, 0.0) + p * math.exp(m + at[y])
+            scale = sum(new.values())
+            now = {s: p / scale for s, p in new.items()}
+            ahead.append(now)
+            scales.append(scale)
+        behind = dict.fromkeys(now, 1.0)
+        for t in range(len(key) - 1, -1, -1):
+            features, _, _ = key[t]
+            before = ahead[t - 1] if t else {(-1, -1): 1.0}
+            back: dict[tuple[int, int], float] = {}
+            for (y0, last), p in before.items():
+                at, o = self._steps(key, t, last)
+                bridges = key[t][2]
+                b = last >= 0 and t - 1 - last < len(bridges) and bridges[t - 1 - last]
+                total = 0.0
+                for y, m in enumerate(self.move[y0, o]):
+                    w = math.exp(m + at[y]) * behind[y, last if y == 0 else t] / scales[t]
+                    total += w
+                    g = n * p * w
+                    move[y0, o][y] += g
+                    for k, (kinds, v) in enumerate(zip(KINDS.values(), (*features, b), strict=True)):
+                        emit[y, k][kinds.index(v)] += g
+                back[y0, last] = total
+            behind = back
+
+    def label(self, lines: list[Line], model: Model, broken: list[int] | None = None) -> list[tuple[str, bool]]:
+        """(label, damaged) of every line. broken: 1 for the first line of an item with line breaks, 2 for a later one."""
+        key = self.key(lines, broken or [0] * len(lines), model)
         got = self.memory.get(key)
         if got is None:
             if len(self.memory) > 100_000:
@@ -328,23 +415,25 @@ class Labeller:
             got = self.memory[key] = self._decode(key)
         return got
 
-    def _decode(self, key: tuple) -> list[str]:
-        best: dict[bool, tuple[float, tuple]] = {False: (0.0, ())}  # by whether a statement is open; the path as links
-        for features, ended, bridge in key:
-            at = {y: sum(self.emit[y, f] for f in (*features, ("bridge", bridge))) for y in STATES}
-            new: dict[bool, tuple[float, tuple]] = {}
-            for o, (score, path) in best.items():
-                for y in STATES:
-                    s = score + at[y] + self.move[y, o]
-                    after = o if y == HEAD else not ended
-                    if after not in new or s > new[after][0]:
-                        new[after] = (s, (path, y))
+    def _decode(self, key: tuple) -> list[tuple[str, bool]]:
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(-1, -1): (0.0, ())}  # the path as links
+        for t in range(len(key)):
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (y0, last), (score, path) in best.items():
+                at, o = self._steps(key, t, last)
+                for y, m in enumerate(self.move[y0, o]):
+                    s, to = score + m + at[y], (y, last if y == 0 else t)
+                    if to not in new or s > new[to][0]:
+                        new[to] = (s, (path, y))
+            if len(new) > 4 * REACH:  # a run of headers longer than any page has: the likeliest lines before it
+                keep = sorted(new, key=lambda x: -new[x][0])[: 4 * REACH]
+                new = {s: new[s] for s in keep}
             best = new
         _, path = max(best.values(), key=lambda x: x[0])
         out = []
         while path:
             path, y = path
-            out.append(y)
+            out.append(STATES[y])
         return out[::-1]
 
 
@@ -356,14 +445,16 @@ class Reader:
     labeller: Labeller | None = None
     seen: dict[tuple[str, bool], Line] = field(default_factory=dict)
 
-    def lines(self, statements: list[str | None]) -> tuple[list[int], list[str], list[Line]]:
-        """Item numbers, texts and lines of a list; blank lines and nulls are left out."""
-        numbers, texts, out = [], [], []
+    def lines(self, statements: list[str | None]) -> tuple[list[int], list[str], list[Line], list[int]]:
+        """Item numbers, texts, lines of a list, and where each stands in an item with line breaks (0: in none, 1: first,
+        2: later); blank lines and nulls are left out."""
+        numbers, texts, out, broken = [], [], [], []
         seen, mask, code = self.seen, DIGITS.sub, CODE.match
         for no, text in enumerate(statements, 1):
             if not text:
                 continue
-            for part in (text,) if text.isprintable() else LINES.split(text):
+            split = not text.isprintable() and LINES.search(text) is not None
+            for part in LINES.split(text) if split else (text,):
                 bare = part.strip()
                 if not bare:
                     continue
@@ -378,11 +469,12 @@ class Reader:
                 numbers.append(no)
                 texts.append(bare)
                 out.append(line)
-        return numbers, texts, out
+                broken.append(0 if not split else 2 if len(numbers) > 1 and numbers[-2] == no else 1)
+        return numbers, texts, out, broken
 
-    def read(self, statements: list[str | None]) -> tuple[list[int], list[str], list[Line], list[str]]:
-        numbers, texts, lines = self.lines(statements)
-        return numbers, texts, lines, self.labeller.label(lines, self.model) if lines else []
+    def read(self, statements: list[str | None]) -> tuple[list[int], list[str], list[Line], list[tuple[str, bool]]]:
+        numbers, texts, lines, broken = self.lines(statements)
+        return numbers, texts, lines, self.labeller.label(lines, self.model, broken) if lines else []
 
 
 def train(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_000, **shares: float) -> tuple[Model, Labeller]:
@@ -396,7 +488,7 @@ def train(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_00
     share = 1.5 * sample / max(1, df.count())
     if share < 1:  # what can be among the least hashes, but for a chance beyond reckoning
         picked = picked.where(F.col("__h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
-    lists = [reader.lines(list(x))[2] for row in picked.orderBy("__h").limit(sample).drop("__h").collect() for x in row if x]
+    lists = [reader.lines(list(x))[2:] for row in picked.orderBy("__h").limit(sample).drop("__h").collect() for x in row if x]
     return model, Labeller.fit(lists, model)
 
 

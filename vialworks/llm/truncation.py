@@ -2,9 +2,9 @@
 
 Method: discrete length hazards. For every source and field the share of texts of length L among those of at least L
 is computed by window functions and tested against the hazards of the neighbouring lengths; the lengths that stay
-significant under Benjamini-Hochberg control are field limits. An ending is judged by the corpus' own sentences:
-whether they end where the text does. At significant lengths an ending must be certain to pass; elsewhere, where a
-transfer may have been cut at any place, it is enough that sentences mostly end so.
+significant under Benjamini-Hochberg control over all groups are field limits. An ending is judged by the corpus' own
+sentences: whether they end where the text does. At significant lengths an ending that isn't certain to be complete is
+a case; elsewhere, where a transfer may have been cut at any place, it is enough that sentences mostly end so.
 
 Defined results: null and empty items are no case. An omission mark, or a broken character, at the end is one. Heads
 and feet of pages are none, nor is an item whose statement goes on in the next item. Items are judged alone, so
@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vialworks.llm.scans import reassemble
-from vialworks.llm.statements import HEAD, MORE, Reader, rows_of_lists, sentences, train
+from vialworks.llm.scans import reassemble, without_pages
+from vialworks.llm.statements import HEAD, MORE, Labeller, Model, Reader, rows_of_lists, sentences, train
 
 
 def length_hazards(lengths: DataFrame, by: list[str], length: str, reach: int = 5, level: float = 0.01) -> DataFrame:
     """(by..., length, n, at_risk, hazard, around, p_value, significant): one row per length that occurs.
 
     around: the hazard of the lengths within `reach`, pooled. The test is one-sided binomial in its normal
-    approximation; level: the false-discovery rate within each group. Null lengths are left out.
+    approximation; level: the false-discovery rate over the tests of all groups together (Benjamini and Hochberg). Null
+    lengths are left out. The windows run over counts, one row a group and length, never over texts.
     """
     h = lengths.where(F.col(length).isNotNull()).groupBy(*by, F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*by).orderBy(F.desc("length"))  # one row a length
@@ -42,15 +43,21 @@ def length_hazards(lengths: DataFrame, by: list[str], length: str, reach: int =
     t = 1 / (1 + 0.2316419 * F.abs(z))
     tail = F.exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     h = h.withColumn("p_value", F.when(z >= 0, tail).otherwise(1 - tail))
-    r = Window.partitionBy(*by).orderBy("p_value", "length")
-    h = h.withColumn("__k", F.row_number().over(r)).withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    last = F.max(F.when(F.col("p_value") <= level * F.col("__k") / F.col("__m"), F.col("__k"))).over(Window.partitionBy(*by))
-    return h.withColumn("significant", F.coalesce(F.col("__k") <= last, F.lit(False))).drop("__k", "__m")
+    # the largest rank k of all m tests whose p-value is within level * k / m; equal p-values share their last rank
+    ranks = h.groupBy("p_value").agg(F.count(F.lit(1)).alias("c"))
+    ranks = ranks.select("p_value", F.sum("c").over(Window.orderBy("p_value")).alias("k"), F.sum("c").over(Window.partitionBy()).alias("m"))
+    passed = ranks.where(F.col("p_value") <= level * F.col("k") / F.col("m")).agg(F.max("p_value").alias("__cut"))
+    return h.join(F.broadcast(passed)).withColumn("significant", F.coalesce(F.col("p_value") <= F.col("__cut"), F.lit(False))).drop("__cut")
 
 
-def find_truncated(df: DataFrame, key: str, source: str, fields: dict[str, Column], level: float = 0.01, sample: int = 5_000) -> DataFrame:
-    """(key, field_name, item_no, source, length, marked, significant): every item whose end is missing."""
-    model, labeller = train(df, key, fields, sample)
+def find_truncated(df: DataFrame, key: str, source: str, fields: dict[str, Column], level: float = 0.01, sample: int = 5_000, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
+    """(key, field_name, item_no, source, length, marked, significant, reason): every item whose end is missing.
+
+    reason: `limit` for an incomplete ending at a significant length, where an ending must be certain to pass; `transfer`
+    for one at any other length, where it is enough that the corpus' sentences mostly end so. trained: a model of the
+    same statements that `train` has made already.
+    """
+    model, labeller = trained or train(df, key, fields, sample)
     shared = df.sparkSession.sparkContext.broadcast((model, labeller))  # bounded by the model's shares
     names = list(fields)
 
@@ -62,23 +69,27 @@ def find_truncated(df: DataFrame, key: str, source: str, fields: dict[str, Colum
 
     def cut(xs: list[str | None], reader: Reader) -> Iterator[tuple[int, int, bool, bool]]:
         """(item, length, marked, ended) of the items whose end isn't beyond doubt."""
-        numbers, _, lines, labels = reader.read(xs)
+        numbers, texts, lines, labels = reader.read(xs)
         tail: tuple[str, ...] = ()
-        for i, (no, line, y) in enumerate(zip(numbers, lines, labels, strict=True)):
+        for i, (no, line, (y, bad)) in enumerate(zip(numbers, lines, labels, strict=True)):
             if y == HEAD:
                 continue
             tail = tail + line.fixed if y == MORE else line.fixed
             if line.sure or (y == MORE and not line.marked and reader.model.complete(sentences(list(tail))[-1], certain=0.9)):
                 continue
+            if bad and (bare := without_pages(texts[i], reader)) != texts[i] and bare:  # page text may stand at the end
+                line = reader.lines([bare])[2][-1]
+                if line.sure:
+                    continue
             if i and numbers[i - 1] == no:  # a statement over several lines is judged as a whole
                 whole = reassemble([xs[no - 1]], reader)
                 line = reader.lines(whole[-1:])[2][-1] if whole else line
                 if line.sure:
                     continue
             j = i + 1
-            while j < len(lines) and labels[j] == HEAD:
+            while j < len(lines) and labels[j][0] == HEAD:
                 j += 1
-            if j < len(lines) and (numbers[j] == no or labels[j] == MORE):
+            if j < len(lines) and (numbers[j] == no or labels[j][0] == MORE):
                 continue
             yield no, len(xs[no - 1]), line.marked, line.ended
 
@@ -94,7 +105,7 @@ def find_truncated(df: DataFrame, key: str, source: str, fields: dict[str, Colum
     lengths = df.select(F.col(source), F.explode(F.array(*parts)).alias("p")).select(source, F.col("p.f").alias("field_name"), F.explode("p.n").alias("length"))
     peaks = length_hazards(lengths, [source, "field_name"], "length", level=level).where("significant").select(source, "field_name", "length", "significant")
     found = open_ones.join(peaks, [source, "field_name", "length"], "left").withColumn("significant", F.coalesce("significant", F.lit(False)))
-    return found.where(~F.col("__ended") | F.col("significant")).select(key, "field_name", "item_no", source, "length", "marked", "significant")
+    return found.where(~F.col("__ended") | F.col("significant")).select(key, "field_name", "item_no", source, "length", "marked", "significant", F.when(F.col("significant"), "limit").otherwise("transfer").alias("reason"))
 
 
 def source_rates(found: DataFrame, totals: DataFrame, source: str) -> DataFrame:
