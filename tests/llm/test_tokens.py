@@ -46,20 +46,26 @@ TEXTS = ["word " * 400, "하나의 문장이다. " * 200, "가나다" * 900, "a\
 
 
 @pytest.mark.parametrize("text", TEXTS)
-@pytest.mark.parametrize(("limit", "overlap"), [(64, 0), (64, 16), (128, 100)])
+@pytest.mark.parametrize(("limit", "overlap"), [(64, 0), (64, 16), (64, 48), (128, 100), (512, 64), (512, 496)])
 def test_pieces(ours, text, limit, overlap):
     got = pieces.cut(ours, text, limit, overlap)
     assert got[0][0] == 0 and got[-1][1] == len(text)
-    for a, b, n in got:
+    for a, b, n, _ in got:
         assert n == ours.count(text[a:b]) <= limit
-    for (a, b, _), (c, e, _) in zip(got, got[1:]):
+    for (a, b, _, _), (c, e, _, again) in zip(got, got[1:]):
         assert a < c <= b < e
-        assert overlap or c == b
+        assert overlap <= again <= overlap + overlap // 2 + limit // 2 if overlap else c == b
+    assert pieces.cut(ours, text, limit, overlap, only_oversized=True) == (got if len(got) > 1 else [])
 
 
 def test_pieces_end_at_sentences(ours):
     text = "One two three four five six seven. " * 30
-    assert all(text[:b].rstrip().endswith(".") for _, b, _ in pieces.cut(ours, text, 100, 10))
+    assert all(text[:b].rstrip().endswith(".") for _, b, _, _ in pieces.cut(ours, text, 100, 10))
+
+
+def test_pieces_start_at_sentences(ours):
+    text = "One two three four five six seven. " * 30
+    assert all(text[a:].lstrip().startswith("One") for a, _, _, _ in pieces.cut(ours, text, 100, 24))
 
 
 def test_pieces_of_a_table(spark):
@@ -91,6 +97,15 @@ def test_exact_complements():
     assert sorted((sorted(p), n) for p, n in got) == [([2, 4, 4], 1), ([3, 7], 1), ([10], 1)]
 
 
+def test_pack_in_many_runs(spark):
+    df = spark.range(5000).selectExpr("id as k", "case when id % 3 = 0 then 40 else cast(id % 64 as int) end as n")
+    got = packing.pack(df, "k", "n", 64, run=100)
+    assert got.select("k").distinct().count() == got.count() == 5000
+    load = got.groupBy("container_no").agg({"part_size": "sum"}).withColumnRenamed("sum(part_size)", "s")
+    assert load.where("s > 64").count() == 0 and load.agg({"container_no": "max"}).first()[0] == load.count()
+    assert load.agg({"s": "sum"}).first()[0] == df.agg({"n": "sum"}).first()[0]
+
+
 def test_pack(spark):
     rows = [(1, 25), (2, 10), (3, 5), (4, 5), (5, 3), (6, 0), (7, None), (3, 5), (8, -1)]
     df = spark.createDataFrame(rows, "k long, n int").selectExpr("*", "'x' as part_size")

@@ -102,6 +102,7 @@ class Encoder:
         self.limit = limit
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
+        self.sizes: np.ndarray | None = None
 
     def _piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
@@ -149,13 +150,13 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def lengths(self, text: str) -> list[int]:
-        """The number of bytes of every token of a text."""
-        if not hasattr(self, "sizes"):
+    def sizes_of(self, packed: bytes) -> list[int]:
+        """The number of bytes of every token of packed ids."""
+        if self.sizes is None:
             self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int32)
             for token, i in self.ranks.items():
                 self.sizes[i] = len(token)
-        return self.sizes[np.frombuffer(self.packed(text), np.int32)].tolist()
+        return self.sizes[np.frombuffer(packed, np.int32)].tolist()
 
     def count(self, text: str) -> int:
         return len(self.packed(text)) // 4

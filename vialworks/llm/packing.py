@@ -4,8 +4,9 @@ Method: exact-complement hashing. Only the histogram of lengths is brought to th
 however many items there are). On it, combinations of one, two or three lengths that exactly fill the gap beside a
 length are looked up by their sum and consumed as often as the counts allow; what is left is placed best-fit,
 longest first, whole classes of equal containers at a time. The plan is a list of container patterns with
-multiplicities; items find their container by their rank among the items of their length, which is computed in
-salted groups, so a length that holds most of the items is no hot group.
+multiplicities; items find their container by their rank among the items of their length. Ranks are computed in as
+many salted runs as a length needs to keep each of bounded size, so a length that holds most of the items is no hot
+group, and looked up in the plan by binary search.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vialworks.session import checkpoint
 
-SALTS = 64
+#: Items of one length that are ranked in one sorted run.
+RUN = 100_000
 
 
 def _fill(c: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
@@ -113,9 +115,28 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return out + [x for xs in free.values() for x in xs]
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
+#: More than there are items of one length.
+STRIDE = 1 << 44
+
+
+def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (length * STRIDE + first rank) and first container of every run of items of a length that go into
+    consecutive containers. Their number depends on the plan's patterns, not on the items."""
+    rows, taken, container = [(0, 1)], {}, 1
+    for pattern, times in patterns:
+        for s in pattern:
+            rows.append((s * STRIDE + taken.get(s, 0), container))
+            taken[s] = taken.get(s, 0) + times
+        container += times
+    rows.sort()
+    return np.array([a for a, _ in rows], np.int64), np.array([b for _, b in rows], np.int64)
+
+
+def pack(items: DataFrame, key: str, size: str, capacity: int, run: int = RUN) -> DataFrame:
     """(key, part_no, part_size, container_no): every item, divided only if it is longer than `capacity`.
 
+    run: items of one length that are ranked together, whatever their number in all.
+
     Defined results: a longer item becomes parts of the capacity and a rest, numbered from 1. Null and non-positive
     sizes count as 0; such items take no space and are in container 1. Repeated keys are items of their own, placed
     independently. Containers are numbered from 1 without gaps. An empty table gives an empty result.
@@ -123,31 +144,24 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     n = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
     last = F.greatest(F.ceil(n / capacity), F.lit(1)).cast("int")
     parts = checkpoint(
-        items.select(F.col(key), n.alias("__n"), F.explode(F.sequence(F.lit(1), last)).alias("part_no"), last.alias("__last"), (F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS))).cast("int").alias("__salt"))
-        .select(key, "part_no", F.when(F.col("part_no") < F.col("__last"), F.lit(capacity)).otherwise(F.col("__n") - (F.col("__last") - 1) * capacity).cast("int").alias("part_size"), "__salt")
+        items.select(F.col(key), n.alias("__n"), F.explode(F.sequence(F.lit(1), last)).alias("part_no"), last.alias("__last"))
+        .select(key, "part_no", F.when(F.col("part_no") < F.col("__last"), F.lit(capacity)).otherwise(F.col("__n") - (F.col("__last") - 1) * capacity).cast("int").alias("part_size"))
     )
     spark = items.sparkSession
-    cells = parts.where("part_size > 0").groupBy("part_size", "__salt").agg(F.count(F.lit(1)).alias("__c"))
-    counts = {r.part_size: r.n for r in cells.groupBy("part_size").agg(F.sum("__c").alias("n")).collect()}
-    rows: dict[int, list[tuple[int, int]]] = {}
-    taken: dict[int, int] = {}
-    container = 1
-    for pattern, times in plan(counts, capacity):
-        for s in pattern:
-            rows.setdefault(s, []).append((taken.get(s, 0), container))
-            taken[s] = taken.get(s, 0) + times
-        container += times
-    slots = spark.createDataFrame(
-        [(s, [a for a, _ in x], [b for _, b in x]) for s, x in rows.items()],
-        T.StructType([T.StructField("part_size", T.IntegerType()), T.StructField("__from", T.ArrayType(T.LongType())), T.StructField("__to", T.ArrayType(T.LongType()))]),
-    )
-    w = Window.partitionBy("part_size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)  # at most SALTS rows each
-    offsets = cells.select("part_size", "__salt", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off")).join(slots, "part_size")
-    ranked = parts.withColumn("__rank", F.row_number().over(Window.partitionBy("part_size", "__salt").orderBy(key, "part_no")))
-    placed = ranked.join(offsets, ["part_size", "__salt"], "left")
-    rank = F.col("__off") + F.col("__rank") - 1
-    slot = F.size(F.filter("__from", lambda x: x <= rank))
-    return placed.select(
-        key, "part_no", "part_size",
-        F.when(F.col("part_size") > 0, F.element_at("__to", slot) + rank - F.element_at("__from", slot)).otherwise(F.lit(1)).cast("long").alias("container_no"),
-    )
+    counts = {r.part_size: r.n for r in parts.groupBy("part_size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
+    keys, first = _slots(plan({s: c for s, c in counts.items() if s > 0}, capacity))
+    salts = spark.createDataFrame([(s, -(-c // run)) for s, c in counts.items()], "part_size int, __salts bigint")
+    salted = parts.join(F.broadcast(salts), "part_size").withColumn("__salt", F.pmod(F.xxhash64(F.col(key), F.col("part_no")), F.col("__salts")))
+    cells = salted.groupBy("part_size", "__salt").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy("part_size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)  # one row a run
+    offsets = cells.select("part_size", "__salt", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
+    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("part_size", "__salt").orderBy(key, "part_no")))
+
+    @F.pandas_udf("bigint")
+    def container(sizes: pd.Series, ranks: pd.Series) -> pd.Series:
+        at = sizes.to_numpy(np.int64) * STRIDE + ranks.to_numpy(np.int64)
+        k = np.searchsorted(keys, at, "right") - 1
+        return pd.Series(np.where(sizes.to_numpy() > 0, first[k] + at - keys[k], 1))
+
+    placed = ranked.join(offsets, ["part_size", "__salt"])
+    return placed.select(key, "part_no", "part_size", container("part_size", F.col("__off") + F.col("__rank") - 1).alias("container_no"))
