@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from vialworks.functions import keys, text
 from vialworks.operators import catalogue as op
 from vialworks.operators import profile
-from vialworks.operators.segmentation import Dictionary, learn_values, split_cell, split_values
+from vialworks.operators import segmentation
+from vialworks.operators.segmentation import Dictionary, count_values, split_cell, split_values
 
 NONE = Dictionary([])
 
@@ -32,7 +33,7 @@ def test_known_values_protect_their_delimiters():
 def test_learned_values(spark):
     rows = [(i, '["5/6 suit", "cap"]') for i in range(5)] + [(9, "5/6 suit/cap"), (10, None), (11, "")]
     df = spark.createDataFrame(rows, "row_no long, f string").withColumn("item_no", F.lit("clash"))
-    assert sorted(learn_values(df, ["f"])["f"]) == ["5/6 suit", "cap"]
+    assert sorted(r.item_value for r in count_values(df, ["f"]).collect()) == ["5/6 suit", "cap"]
     assert [(r.item_no, r.item_value) for r in split_values(df, "row_no", ["f"]).where("row_no = 9").orderBy("item_no").collect()] == [(1, "5/6 suit"), (2, "cap")]
     assert split_values(df.limit(0), "row_no", ["f"]).count() == 0
 
@@ -136,3 +137,12 @@ def test_entry_has_all_queries():
     import __spark_entry__ as e
 
     assert {"p1_found", "p4_found", "p5_found", "agg1_substances"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rare_known_values_are_protected_without_a_broadcast(spark):
+    rows = [(1, '["gloves, long", "mask"]'), (2, '["gloves, long", "boots"]'), (3, '["gloves, long", "hood"]'), (4, "gloves, long, mask, apron"), (5, "mask"), (6, None), (7, ""), (8, "mask, , hood")]
+    df = spark.createDataFrame(rows, "k long, v string").selectExpr("*", "'clash' as item_no")
+    by_broadcast = {(r.k, r.item_no, r.item_value) for r in segmentation.split_values(df, "k", ["v"], min_rows=1).collect()}
+    by_join = {(r.k, r.item_no, r.item_value) for r in segmentation.split_values(df, "k", ["v"], min_rows=1, most=0).collect()}
+    assert by_join == by_broadcast and {(4, 1, "gloves, long"), (4, 2, "mask"), (4, 3, "apron"), (8, 1, "mask"), (8, 3, "hood")} <= by_join
+    assert segmentation.split_values(df.limit(0), "k", ["v"], most=0).count() == 0

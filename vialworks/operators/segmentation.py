@@ -1,10 +1,12 @@
 """Several values packed in one field, split into one row per value with its place.
 
 Method: dictionary-guided segmentation. Values that stand alone beyond doubt (elements of JSON lists, of numbered
-lists and of quoted parts) are counted over the whole table; those with a share of at least `min_share` of all such
-elements become known values, so their number is bounded by 1 / min_share however large the table. A multi-pattern
-automaton finds the known values in a cell and dynamic programming picks the cover of the cell with the least
-unknown text; delimiters inside a covered value, inside quotes, parentheses or a telephone number are protected.
+lists and of quoted parts) are counted over the whole table; those that occur in at least `min_rows` places become
+known values. A multi-pattern automaton finds the known values in a cell and dynamic programming picks the cover of the
+cell with the least unknown text; delimiters inside a covered value, inside quotes, parentheses or a telephone number
+are protected. Up to `most` known values are broadcast as one automaton; beyond that every different cell gets an
+automaton of those known values only that occur in it, found by a join of its parts with all known values, so a value
+is protected however rare it is in a large table.
 
 Defined results: null, empty and blank cells and cells with fewer than two values give no row. An empty place keeps
 its number and gives no row. Unclosed quotes and parentheses protect nothing. Very long cells are split like any
@@ -22,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vialworks.session import checkpoint
+
 _PHONE = re.compile(
     r"(?<![\d])(?:\+\d{1,3}[- ]\d{1,3}-\d{3,4}-\d{4}|\(0\d{1,2}\) ?\d{3,4}-\d{4}|0\d{1,2}\) ?\d{3,4} ?- ?\d{4}|0\d{1,2}\.\d{3,4}\.\d{4}|0\d{1,2}-\d{3,4}-\d{4})(?!\d)"
 )
@@ -202,8 +206,8 @@ def split_cell(text: str | None, known: Dictionary) -> list[tuple[int, str]]:
     return found if len(found) > 1 else []
 
 
-def learn_values(df: DataFrame, fields: list[str], min_share: float = 1e-4, min_rows: int = 3) -> dict[str, list[str]]:
-    """The known values of each field, from a count over all rows with a partial step; at most 1 / min_share a field."""
+def count_values(df: DataFrame, fields: list[str], min_rows: int = 3) -> DataFrame:
+    """(field_name, item_value, n): the known values of each field, from a count over all rows with a partial step."""
 
     def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -218,31 +222,59 @@ def learn_values(df: DataFrame, fields: list[str], min_share: float = 1e-4, min_
     for f in fields:
         structured |= F.coalesce(F.col(f).rlike(r'^\s*(\[|\(?1[).]|[①•‣▪-])|"'), F.lit(False))
     seen = df.select(*fields).where(structured).mapInPandas(sure, "field_name string, item_value string, n long")
-    counts = seen.groupBy("field_name", "item_value").agg(F.sum("n").alias("n")).persist()
-    try:
-        totals = counts.groupBy("field_name").agg((F.sum("n") * F.lit(min_share)).alias("least"))
-        frequent = counts.join(totals, "field_name").where((F.col("n") >= F.col("least")) & (F.col("n") >= min_rows))
-        known: dict[str, list[str]] = {f: [] for f in fields}
-        for r in frequent.collect():
-            known[r.field_name].append(r.item_value)
-        return known
-    finally:
-        counts.unpersist()
-
-
-def split_values(df: DataFrame, key: str, fields: list[str], min_share: float = 1e-4) -> DataFrame:
+    return seen.groupBy("field_name", "item_value").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows)
+
+
+def parts_of(text: str, atoms: int, words: int) -> set[str]:
+    """The parts of a cell that may be known values: runs of up to `atoms` parts between delimiters, and of up to `words`
+    words."""
+    inside = _protected(text)
+    cuts = [(m.start(), m.end()) for m in _DELIMITER.finditer(text) if not inside[m.start()]]
+    starts, ends = [0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(text)]
+    out = {text[starts[i] : ends[j]].strip() for i in range(len(starts)) for j in range(i, min(len(starts), i + atoms))}
+    for s, e in zip(starts, ends, strict=True):
+        ws = text[s:e].split()
+        out.update(" ".join(ws[i:j]) for i in range(len(ws)) for j in range(i + 1, min(len(ws), i + words) + 1))
+    return out - {""}
+
+
+def split_values(df: DataFrame, key: str, fields: list[str], min_rows: int = 3, most: int = 50_000) -> DataFrame:
     """(key, field_name, item_no, item_value) of every value in cells of `fields` that hold two or more.
 
-    Only the known values are brought to the driver: at most 1 / min_share for each field.
+    At most `most` known values are brought to the driver and broadcast; where there are more, none are.
     """
-    dictionary = learn_values(df, fields, min_share)
+    known = checkpoint(count_values(df, fields, min_rows))
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, field_name string, item_no int, item_value string"
+    if known.limit(most + 1).count() <= most:
+        dictionary: dict[str, list[str]] = {f: [] for f in fields}
+        for r in known.collect():
+            dictionary[r.field_name].append(r.item_value)
+        shared = df.sparkSession.sparkContext.broadcast(dictionary)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {f: Dictionary(v) for f, v in dictionary.items()}
-        one = {f: lru_cache(1 << 12)(lambda text, k=k: split_cell(text, k)) for f, k in known.items()}
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            one = {f: lru_cache(1 << 12)(lambda text, k=Dictionary(v): split_cell(text, k)) for f, v in shared.value.items()}
+            for pdf in batches:
+                rows = [(k, f, i, v) for f in fields for k, text in zip(pdf[key], pdf[f], strict=True) if text for i, v in one[f](text)]
+                yield pd.DataFrame(rows, columns=[key, "field_name", "item_no", "item_value"])
+
+        return df.select(key, *fields).mapInPandas(split, schema)
+
+    sizes = known.agg(F.max(F.size(F.split("item_value", r"[,;|/\n\r\t、，·；｜／+]"))).alias("a"), F.max(F.size(F.split("item_value", r"\s+"))).alias("w")).first()
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("cell")) for f in fields])).alias("x"), F.col(key).alias("__key")).select("__key", "x.*").where("cell <> ''")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, f, i, v) for f in fields for k, text in zip(pdf[key], pdf[f], strict=True) if text for i, v in one[f](text)]
-            yield pd.DataFrame(rows, columns=[key, "field_name", "item_no", "item_value"])
+            rows = [(f, c, p) for f, c in zip(pdf.field_name, pdf.cell, strict=True) for p in parts_of(c.strip(), sizes.a, sizes.w)]
+            yield pd.DataFrame(rows, columns=["field_name", "cell", "item_value"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *fields).mapInPandas(split, f"{key} {kind}, field_name string, item_no int, item_value string")
+    different = cells.select("field_name", "cell").distinct()
+    found = different.mapInPandas(spread, "field_name string, cell string, item_value string").join(known, ["field_name", "item_value"]).groupBy("field_name", "cell").agg(F.collect_set("item_value").alias("known"))
+
+    def split_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(f, c, i, v) for f, c, ks in zip(pdf.field_name, pdf.cell, pdf.known, strict=True) for i, v in split_cell(c, Dictionary([] if ks is None else list(ks)))]
+            yield pd.DataFrame(rows, columns=["field_name", "cell", "item_no", "item_value"])
+
+    values = different.join(found, ["field_name", "cell"], "left").mapInPandas(split_with, "field_name string, cell string, item_no int, item_value string")
+    return cells.join(values, ["field_name", "cell"]).select(F.col("__key").alias(key), "field_name", "item_no", "item_value")
