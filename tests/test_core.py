@@ -104,10 +104,18 @@ def test_diff_patch_and_elections(spark):
 
 
 def test_search(spark):
-    df = spark.createDataFrame([(1, "크릴 신너", "AB1"), (2, "다른 것", "AB1"), (3, None, None)], "k int, n string, c string")
-    go = lambda q, **a: {r.k: r.score for r in op.search(df, "k", q, [F.col("n")], [F.col("c")], [], **a).collect()}
-    assert go("크릴 신너") == {1: 1200 + 3 * 800} and go("ab1") == {1: 1900, 2: 1900} and go("") == {} and go("ㅋㄹ") == {1: 700}
-    assert go("thinner", synonyms=[["thinner", "신너"]]) == {1: 220}
+    from vialworks.operators import search
+
+    rows = [(1, "크릴 신너 100", "ERP A", "a.pdf", None, None, None), (2, "주방 세정제", None, "크릴.pdf", None, None, None), (3, "Foo", None, None, ["H315 x"], "장갑", None), (4, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "row_no long, productName string, erpName string, fileName string, hazardStatements array<string>, ppeSummary string, pdfPath string").selectExpr(
+        "*", "cast(null as string) useCategory", "cast(null as string) siteLabel", "cast(null as string) supplier", "named_struct('prevention', array('P280 x'), 'response', array(), 'storage', cast(null as array<string>), 'disposal', array()) precautionaryStatements", "'clash' as score"
+    )
+    lines = spark.createDataFrame([(1, "Xylene", "1330-20-7"), (1, None, None), (3, "Xylene", " 1330-20-7")], "row_no long, chemicalName string, casNo string")
+    index = search.searched(df, lines)
+    go = lambda t: {r.row_no: (r.score, r.reason) for r in search.score(index, search.read_query(t)).collect()}
+    assert go("크릴") == {1: (800, "name_part"), 2: (600, "file")} and go("thinner")[1] == (220, "synonym") and go("xylene") == {1: (120, "component"), 3: (120, "component")}
+    assert go("1330-20-7") == {1: (350, "cas_equal"), 3: (350, "cas_equal")} and go("h315") == {3: (200, "hazard")} and go("장갑") == {3: (60, "detail")} and go("ㅋㄹㅅㄴ")[1] == (700, "initials")
+    assert go(" ") == {} and search.score(index.limit(0), search.read_query("a")).count() == 0
 
 
 def test_lookalikes_against_pairs(spark):

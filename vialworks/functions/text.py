@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vialworks.functions.keys import search_key
+
 #: Initial consonants of Hangul syllables, in their order.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 #: Words for pictograms.
@@ -47,11 +49,6 @@ def initials(c: Column) -> Column:
     return F.array_join(out, "")
 
 
-def codes(c: Column) -> Column:
-    """Hazard and precaution codes in a text, distinct, in their order."""
-    return F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit("[HP][0-9]{3}"), F.lit(0)))
-
-
 def bigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the sets of two-character sequences; 0 where a text has fewer than two characters."""
     grams = lambda c: F.when(F.length(c) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
@@ -86,9 +83,12 @@ def required_pictograms(hazards: Column) -> Column:
 
 
 def signal_word(c: Column) -> Column:
-    """The signal word in Korean: danger, warning, none stated; null for anything else."""
-    v = F.lower(F.trim(c))
-    return F.when(v.isin("위험", "danger", "危険"), F.lit("위험")).when(v.isin("경고", "warning", "警告"), F.lit("경고")).when(v.isin("해당없음", "해당 없음", "none", "n/a"), F.lit("해당없음"))
+    """The signal word in Korean: danger, warning, none stated; '' for anything else. Blanks and brackets don't count."""
+    v = search_key(c)
+    return (
+        F.when(v.isin("위험", "danger"), F.lit("위험")).when(v.isin("경고", "warning"), F.lit("경고"))
+        .when(v.isin("해당없음", "신호어없음", "notapplicable", "none"), F.lit("해당없음")).otherwise("")
+    )
 
 
 def csv_cell(c: Column) -> Column:

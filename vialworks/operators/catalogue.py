@@ -14,22 +14,37 @@ from pyspark.sql import functions as F
 from vialworks.functions import keys, text
 
 
-def substances(rows: DataFrame, product: str, cas: str, name: str, flags: list[str], marked: tuple[str, ...]) -> DataFrame:
-    """Products by substance: one row per valid registry number with its rows, products, main name and flag counts.
+def registry_number(c: Column) -> Column:
+    """A valid registry number without the label before it; null for anything else."""
+    v = F.regexp_replace(F.trim(c), r"(?i)^CAS\s*(No\.?|번호)?\s*[:.]?\s*", "")
+    return F.when(text.valid_cas(v), v)
 
-    The main name is the most frequent one, the smallest of several. A flag counts as marked, cleared (another text)
-    or unstated (blank) per row. Rows are reduced by (number, name) before names are elected, so a substance that
-    holds many rows is no large group.
+
+def flag_state(c: Column) -> Column:
+    """`marked` for a text that begins with a circle, `unstated` for a blank one, `cleared` for any other."""
+    v = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(v == "", "unstated").when(v.rlike("^[○Oo●ㅇ]"), "marked").otherwise("cleared")
+
+
+def clumsy_name(c: Column) -> Column:
+    """True for a name that shouldn't stand for a substance: lists of names, names with numbers, very long ones."""
+    return c.rlike(r";|KE-[0-9]|[0-9]{2,7}-[0-9]{2}-[0-9]") | (F.length(c) > 40)
+
+
+def substances(rows: DataFrame, product: str, cas: str, name: str, flags: dict[str, Column]) -> DataFrame:
+    """Products by substance: one row per valid registry number with its rows, products, main name, spellings and flags.
+
+    The main name is one that isn't clumsy, then the most frequent, then the smallest. A flag counts as marked, cleared
+    (another text) or unstated (blank) per row. Rows are reduced by (number, name) before names are elected, so a
+    substance that holds many rows is no large group.
     """
-    ok = rows.where(text.valid_cas(F.trim(cas))).withColumn("__cas", F.trim(cas))
-    n = keys.first_filled(F.col(name))
-    counts = []
-    for f in flags:
-        v = F.coalesce(F.trim(f), F.lit(""))
-        counts += [F.count_if(v.isin(*marked)).alias(f"{f}_marked"), F.count_if((v != "") & ~v.isin(*marked)).alias(f"{f}_cleared"), F.count_if(v == "").alias(f"{f}_unstated")]
+    ok = rows.withColumn("__cas", registry_number(F.col(cas))).where("__cas is not null")
+    counts = [F.count_if(flag_state(v) == s).alias(f"{f}_{s}") for f, v in flags.items() for s in ("marked", "cleared", "unstated")]
     total = ok.groupBy("__cas").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(product).alias("n_products"), *counts)
+    n = keys.first_filled(F.col(name))
     names = ok.select("__cas", n.alias("__name")).where("__name is not null").groupBy("__cas", "__name").agg(F.count(F.lit(1)).alias("c"))
-    main = names.groupBy("__cas").agg(F.min_by("__name", F.struct(-F.col("c"), F.col("__name"))).alias("main_name"), F.count(F.lit(1)).alias("n_names"))
+    order = F.struct(clumsy_name(F.col("__name")).alias("clumsy"), (-F.col("c")).alias("m"), F.col("__name").alias("v"))
+    main = names.groupBy("__cas").agg(F.min(order).getField("v").alias("main_name"), F.count(F.lit(1)).alias("n_names"), F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.v), " / ").alias("spellings"))
     return total.join(main, "__cas", "left").withColumnRenamed("__cas", "cas_no").withColumn("n_names", F.coalesce("n_names", F.lit(0)))
 
 
@@ -51,6 +66,11 @@ def key_overlap(left: DataFrame, left_id: str, left_keys: list[Column], right: D
     return spread(left, left_id, left_keys).join(spread(right, right_id, right_keys), "key").select(left_id, right_id).distinct()
 
 
+def prefixed(prefix: str, key: Column) -> Column:
+    """A key of a kind; null for a null or blank one, so blanks never meet."""
+    return F.concat(F.lit(prefix), F.nullif(F.trim(key), F.lit("")))
+
+
 def duplicate_groups(df: DataFrame, key: Column, member: str, kind: str) -> DataFrame:
     """(kind, key, members, first_member): groups of two and more rows with an equal key."""
     g = df.select(key.alias("key"), F.col(member).alias("m")).where("key is not null and key <> ''").groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("m").alias("first_member"))
@@ -128,67 +148,3 @@ def library_fingerprint(df: DataFrame, path: str, digest: str) -> DataFrame:
     return sums.select("files", F.sha2(F.concat_ws(".", *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("0")) for i in range(8)]), 256).alias("fingerprint"))
 
 
-def search(df: DataFrame, key: str, query: str, names: list[Column], codes: list[Column], meta: list[Column], synonyms: list[list[str]] = ()) -> DataFrame:
-    """(key, score, reason): rows that answer a query, by the sum of the weights of what matches.
-
-    Weights: an equal name 1200, an equal code 1100, a name or code that holds the query 800, Hangul initials 700 (only
-    for a query with a bare consonant), other fields 300, a synonym 220, a name one edit away 160. Every word of the
-    query counts besides the whole. The query is read on the driver; rows are scored by one projection.
-    """
-    import re
-
-    def norm(s: str) -> str:
-        return re.sub(r"[\s()\[\]{}<>（）［］｛｝_\-/\\]", "", s.lower().replace(".pdf", ""))
-
-    whole = norm(query)
-    words = list(dict.fromkeys(w for w in (norm(x) for x in re.split(r"[\s,;]+", query)) if w))
-    units = list(dict.fromkeys([w for w in [whole, *words] if w]))
-    n, c, m = (F.array(*[F.coalesce(keys.search_key(x), F.lit("")) for x in cs]) if cs else F.array().cast("array<string>") for cs in (names, codes, meta))
-    jamo = re.search(f"[{text.INITIALS}]", query)
-    parts = []
-    def holding(cs: Column, term: str, f=lambda v: v) -> Column:
-        return F.exists(cs, lambda v: F.contains(f(v), F.lit(term)))
-
-    def near(term: str) -> Column:
-        return F.exists(n, lambda v: (F.abs(F.length(v) - len(term)) <= 1) & (F.levenshtein(v, F.lit(term)) == 1))
-
-    for u in units:
-        parts += [(F.array_contains(n, u), 1200, "name"), (F.array_contains(c, u), 1100, "code"), (holding(F.concat(n, c), u), 800, "part"), (holding(m, u), 300, "other")]
-        if jamo:
-            parts.append((holding(n, u, text.initials), 700, "initials"))
-    for w in words:
-        group = next((g for g in synonyms if w in map(norm, g)), None)
-        if group:
-            parts.append((reduce(lambda a, b: a | b, [holding(n, norm(t)) for t in group]), 220, "synonym"))
-        if re.search("[가-힣]", w) and len(w) >= 2 and not re.search(r"\d", w):
-            parts.append((near(w), 160, "near"))
-    if not parts:
-        return df.select(key, F.lit(0).alias("score"), F.lit("").alias("reason")).limit(0)
-    score = reduce(lambda a, b: a + b, [F.when(cond, F.lit(weight)).otherwise(0) for cond, weight, _ in parts])
-    reason = F.coalesce(*[F.when(cond, F.lit(label)) for cond, _, label in parts])
-    return df.select(key, score.alias("score"), reason.alias("reason")).where("score > 0")
-
-
-def scored_matches(products: DataFrame, product: str, file: Column, name: Column, cas: Column, documents: DataFrame, document: str, doc_file: Column, doc_name: Column, doc_cas: Column) -> DataFrame:
-    """(product, document, score, cas_overlap, tier): documents that fit a product, by the sum of their reasons.
-
-    Reasons: equal file 100, else equal file key 90; equal name 60; two or more common registry numbers 40, one 15.
-    Candidates share a file key or a name, so a registry number that stands in many rows pairs nothing by itself.
-    Tiers: strong from 90, probable from 60, weak below.
-    """
-    p = products.select(F.col(product), file.alias("__f"), name.alias("__n"), cas.alias("__c"))
-    d = documents.select(F.col(document), doc_file.alias("__df"), doc_name.alias("__dn"), doc_cas.alias("__dc"))
-    ids = key_overlap(
-        p, product, [F.concat(F.lit("f:"), keys.match_key(F.col("__f"))), F.concat(F.lit("n:"), keys.match_key(F.nullif(F.trim("__n"), F.lit(""))))],
-        d, document, [F.concat(F.lit("f:"), keys.match_key(F.col("__df"))), F.concat(F.lit("n:"), keys.match_key(F.nullif(F.trim("__dn"), F.lit(""))))],
-    )
-    j = ids.join(p, product).join(d, document)
-    same = lambda a, b: F.coalesce(a == b, F.lit(False))
-    common = F.coalesce(F.size(F.array_intersect("__c", "__dc")), F.lit(0))
-    common = F.when(common < 0, 0).otherwise(common)
-    score = (
-        F.when(same(F.col("__f"), F.col("__df")), 100).when(same(keys.match_key(F.col("__f")), keys.match_key(F.col("__df"))), 90).otherwise(0)
-        + F.when(same(keys.match_key(F.col("__n")), keys.match_key(F.col("__dn"))), 60).otherwise(0)
-        + F.when(common >= 2, 40).when(common == 1, 15).otherwise(0)
-    )
-    return j.select(product, document, score.alias("score"), common.alias("cas_overlap")).select("*", F.when(F.col("score") >= 90, "strong").when(F.col("score") >= 60, "probable").otherwise("weak").alias("tier"))

@@ -9,10 +9,8 @@ from vialworks.functions import keys, text
 from vialworks.operators import catalogue as op
 from vialworks.sources.tables import table
 
-MARKED = ("○", "해당", "대상")
 FLAGS = ["managementTarget", "workplaceMonitoringTarget", "specialHealthCheckTarget"]
 REVIEW = ["검토필요", "자동추출", "승인", "보류", "수정필요", "제외"]
-SYNONYMS = [["신너", "신나", "시너", "thinner", "희석제"], ["세정제", "세척제", "클리너", "cleaner"], ["경화제", "hardener"], ["프라이머", "primer"]]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -94,12 +92,6 @@ def scl11_hazard_codes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_no", F.explode(F.regexp_extract_all(F.upper("s"), F.lit("[HP][0-9]{3}"), F.lit(0))).alias("code")).groupBy("row_no", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select row_no, case when lower(trim(signalWord)) in ('위험', 'danger') then '위험' when lower(trim(signalWord)) in ('경고', 'warning') then '경고'
-  when lower(trim(signalWord)) in ('해당없음', '해당 없음', 'none', 'n/a') then '해당없음' end as signal from msds_sample""")
-def scl31_signal_words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "msds_sample").select("row_no", text.signal_word(F.col("signalWord")).alias("signal"))
-
-
 _ALIASES = ", ".join(f"('{w}', '{c}')" for w, c in text.PICTOGRAM_OF.items())
 
 
@@ -120,26 +112,6 @@ def scl7_bigram_similarity(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_no", F.round(text.bigram_similarity(F.lower("productName"), F.lower("fileName")), 9).alias("similarity"))
 
 
-_FLAG_SQL = ", ".join(
-    f"count(*) filter (coalesce(trim({f}), '') in ('○', '해당', '대상')) as {f}_marked, count(*) filter (coalesce(trim({f}), '') not in ('', '○', '해당', '대상')) as {f}_cleared, count(*) filter (coalesce(trim({f}), '') = '') as {f}_unstated"
-    for f in FLAGS
-)
-
-
-@query(f"""with ok as (select *, trim(casNo) as cas_no, nullif(trim(chemicalName), '') as nm from msds_ingredient where coalesce({_CAS.format(c='trim(casNo)')}, false)),
-  t as (select cas_no, count(*) as n_rows, count(distinct productId) as n_products, {_FLAG_SQL} from ok group by cas_no),
-  n as (select cas_no, nm, count(*) as c from ok where nm is not null group by all),
-  m as (select cas_no, first(nm order by c desc, nm) as main_name, count(*) as n_names from n group by cas_no)
-  select t.*, main_name, coalesce(n_names, 0) as n_names from t left join m using (cas_no)""")
-def agg1_substances(spark: SparkSession, d: str) -> DataFrame:
-    return op.substances(table(spark, d, "msds_ingredient"), "productId", "casNo", "chemicalName", FLAGS, MARKED)
-
-
-@query(f"select row_no, item_no, casNo from msds_ingredient where not coalesce({_CAS.format(c='trim(casNo)')}, false)")
-def agg1_orphans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "msds_ingredient").where(~text.valid_cas(F.trim("casNo"))).select("row_no", "item_no", "casNo")
-
-
 @query("select w.value, count(o.reviewStatus) as n from (values " + ", ".join(f"('{v}')" for v in REVIEW) + ") w(value) left join msds_overrides o on o.reviewStatus = w.value group by all")
 def agg2_review_counts(spark: SparkSession, d: str) -> DataFrame:
     return op.count_by_vocabulary(table(spark, d, "msds_overrides"), "reviewStatus", REVIEW)
@@ -163,22 +135,6 @@ def agg5_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return op.duplicate_groups(p, F.col("sha256"), "inventory_no", "sha256").unionByName(op.duplicate_groups(p, F.lower("fileName"), "inventory_no", "file_name")).unionByName(op.duplicate_groups(p, cas, "inventory_no", "cas_list"))
 
 
-@query("""select coalesce(nullif(trim(supplier), ''), '(none)') as company, count(distinct id) as products, count(*) as deliveries, min(loaded_at) as first_load, max(load_no) as last_load_no
-  from msds_sample group by 1""")
-def agg6_companies(spark: SparkSession, d: str) -> DataFrame:
-    company = F.coalesce(keys.first_filled(F.col("supplier")), F.lit("(none)")).alias("company")
-    return table(spark, d, "msds_sample").groupBy(company).agg(F.countDistinct("id").alias("products"), F.count(F.lit(1)).alias("deliveries"), F.min("loaded_at").alias("first_load"), F.max("load_no").alias("last_load_no"))
-
-
-@query(rf"""select k as norm, min(v) as shown, count(*) as n, min(w) as weight from (
-  select {_SEARCH('v')} as k, v, w from (select trim(productName) as v, 0 as w from msds_sample union all select trim(supplier), 1 from msds_sample union all select trim(useCategory), 2 from msds_sample)
-  where v <> '' and length(v) <= 60) where k <> '' group by k""")
-def agg10_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "msds_sample")
-    pool = s.select(F.explode(F.array(*[F.struct(F.trim(c).alias("v"), F.lit(w).alias("w")) for w, c in enumerate(("productName", "supplier", "useCategory"))])).alias("x")).select("x.*")
-    return pool.where("v <> '' and length(v) <= 60").groupBy(keys.search_key(F.col("v")).alias("norm")).agg(F.min("v").alias("shown"), F.count(F.lit(1)).alias("n"), F.min("w").alias("weight")).where("norm <> ''")
-
-
 @query(rf"""select k as line, count(distinct doc_id) as docs from (select doc_id, regexp_replace(trim(regexp_replace(l, '[{_B}]+', ' ', 'g')), '[0-9]+', '#', 'g') as k
   from (select doc_id, unnest(string_split(text, chr(10))) as l from documents where text is not null)) where k <> '' group by k having count(distinct doc_id) >= 5""")
 def agg13_boilerplate(spark: SparkSession, d: str) -> DataFrame:
@@ -230,24 +186,6 @@ def jon1_overrides(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""select id, count(*) as deliveries from msds_sample s where fileName is not null and not exists (select 1 from pdf_inventory p where p.fileName = s.fileName) group by id""")
-def jon7_without_file(spark: SparkSession, d: str) -> DataFrame:
-    s, p = table(spark, d, "msds_sample").where("fileName is not null"), table(spark, d, "pdf_inventory").select("fileName")
-    return s.join(p, "fileName", "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("deliveries"))
-
-
-@query("""select inventory_no, fileName from pdf_inventory p where not exists (select 1 from msds_sample s where s.fileName = p.fileName) and not exists (select 1 from msds_overrides o where o.matchTarget.fileName = p.fileName)""")
-def jon4_document_only(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "msds_sample").select("fileName").unionByName(table(spark, d, "msds_overrides").select("matchTarget.fileName"))
-    return table(spark, d, "pdf_inventory").join(known.where("fileName is not null"), "fileName", "left_anti").select("inventory_no", "fileName")
-
-
-@query("""select i.row_no, i.item_no, i.casNo, r.chemicalName as reference_name, r.physicalState, r.monitored from msds_ingredient i join substance_ref r on r.casNo = trim(i.casNo)""")
-def jon11_reference_names(spark: SparkSession, d: str) -> DataFrame:
-    i, r = table(spark, d, "msds_ingredient"), table(spark, d, "substance_ref").select(F.col("casNo").alias("c"), F.col("chemicalName").alias("reference_name"), "physicalState", "monitored")
-    return i.join(r, F.trim("casNo") == F.col("c")).select("row_no", "item_no", "casNo", "reference_name", "physicalState", "monitored")
-
-
 @query("""with n as (select distinct on (id) id, lower(productName) as n from msds_sample where length(productName) >= 6 order by id, row_no),
   c as (select a.id as ia, a.n as a, b.n as b, list_max(list_filter(range(0, least(length(a.n), length(b.n)) + 1), lambda k: left(a.n, cast(k as int)) = left(b.n, cast(k as int)))) as common
     from n a join n b on a.id <> b.id and left(a.n, 6) = left(b.n, 6))
@@ -322,29 +260,6 @@ def rul8_precaution_groups_all(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("list", grp.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_PPE = {
-    "goggles": ["보안경", "고글", "안면보호구", "보안면", "goggle", "safetyglasses", "faceshield"], "gloves": ["장갑", "glove"],
-    "mask": ["마스크", "호흡보호구", "호흡용보호", "호흡기보호구", "방독", "공기호흡기", "respirator", "scba"],
-    "suit": ["보호복", "보호의", "앞치마", "protectiveclothing", "apron"], "boots": ["안전화", "장화", "safetyshoes", "boots"],
-}
-_PPE_SQL = ", ".join(f"coalesce(regexp_matches(regexp_replace(lower(ppeSummary), '[{_B}]', '', 'g'), '{'|'.join(ws)}'), false) as {k}" for k, ws in _PPE.items())
-
-
-@query(f"select row_no, {_PPE_SQL} from msds_sample")
-def rul9_equipment(spark: SparkSession, d: str) -> DataFrame:
-    t = F.regexp_replace(F.lower("ppeSummary"), f"[{_B}]", "")
-    return table(spark, d, "msds_sample").select("row_no", *[F.coalesce(t.rlike("|".join(ws)), F.lit(False)).alias(k) for k, ws in _PPE.items()])
-
-
-@query("""select row_no, coalesce(nullif(trim(s.signalWord), ''), nullif(trim(o.signalWordCandidate), '')) as signal, case when len(s.ghsCodes) > 0 then 'entry' when len(o.ghsCodes) > 0 then 'document' else 'none' end as codes_from
-  from msds_sample s left join (select productId, signalWordCandidate, ghsCodes from (select *, row_number() over (partition by productId order by override_no) as r from msds_overrides where productId is not null) where r = 1) o on o.productId = s.id""")
-def mrg1_fill_if_empty(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "msds_overrides").where("productId is not null").groupBy("productId").agg(F.min(F.struct("override_no", "signalWordCandidate", "ghsCodes")).alias("o"))
-    s = table(spark, d, "msds_sample").join(o, F.col("id") == F.col("productId"), "left")
-    source = F.when(F.size("ghsCodes") > 0, "entry").when(F.size("o.ghsCodes") > 0, "document").otherwise("none")
-    return s.select("row_no", keys.first_filled(F.col("signalWord"), F.col("o.signalWordCandidate")).alias("signal"), source.alias("codes_from"))
-
-
 @query("""select s.row_no, case when p.k is not null then p.after else s.signalWord end as signalWord, p.k is not null as patched from msds_sample s
   left join (select productId as k, max(signalWordCandidate) as after from msds_overrides where productId is not null group by 1) p on p.k = s.id and s.signalWord is not distinct from ''""")
 def mrg7_guarded_patch(spark: SparkSession, d: str) -> DataFrame:
@@ -366,79 +281,7 @@ def val1_violations(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
-@query(f"""select row_no, item_no, case when coalesce(trim(casNo), '') in ('', '-', '영업비밀') then 'none' when {_CAS.format(c='trim(casNo)')} then case when trim(casNo) = casNo then 'none' else 'warning' end
-  when regexp_full_match(trim(casNo), '[0-9]{{2,7}}-[0-9]{{2}}-[0-9]') then 'error' else 'warning' end as finding from msds_ingredient""")
-def val3_cas_fields(spark: SparkSession, d: str) -> DataFrame:
-    t = F.trim("casNo")
-    v = (
-        F.when(F.coalesce(t, F.lit("")).isin("", "-", "영업비밀"), "none").when(text.valid_cas(t), F.when(t == F.col("casNo"), "none").otherwise("warning"))
-        .when(t.rlike("^[0-9]{2,7}-[0-9]{2}-[0-9]$"), "error").otherwise("warning")
-    )
-    return table(spark, d, "msds_ingredient").select("row_no", "item_no", v.alias("finding"))
-
-
 @query(r"""select row_no, v as cell from (select row_no, case when regexp_matches(w, '[",\r\n]') then '"' || replace(w, '"', '""') || '"' else w end as v
   from (select row_no, case when regexp_matches(x, '^[=+\-@\t\r]') then '''' || x else x end as w from (select row_no, coalesce(emergencyContact, '') as x from msds_sample)))""")
 def snk1_csv_cells(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "msds_sample").select("row_no", text.csv_cell(F.col("emergencyContact")).alias("cell"))
-
-
-@query()
-def top1_search(spark: SparkSession, d: str) -> DataFrame:
-    """The ranked answers to a query of two words, with synonyms."""
-    c = F.col
-    hits = op.search(table(spark, d, "msds_sample"), "row_no", "크릴 thinner", [c("productName"), c("erpName")], [c("msdsNo")], [c("fileName"), c("supplier"), c("useCategory")], SYNONYMS)
-    return hits.orderBy(F.desc("score"), "row_no")
-
-
-@query(f"""with p as (select id, first(fileName order by row_no) as f, first(productName order by row_no) as n from msds_sample where id is not null group by id),
-  pc as (select productId as id, list_distinct(list(trim(casNo))) as c from msds_ingredient where coalesce({_CAS.format(c='trim(casNo)')}, false) group by 1),
-  a as (select p.id, f, n, c from p left join pc using (id)), b as (select inventory_no, fileName as df, productNameCandidates[1] as dn, casNoCandidates as dc from pdf_inventory),
-  k as (select id, 'f:' || {_MATCH('f')} as k from a union select id, 'n:' || {_MATCH("nullif(trim(n), '')")} from a),
-  l as (select inventory_no, 'f:' || {_MATCH('df')} as k from b union select inventory_no, 'n:' || {_MATCH("nullif(trim(dn), '')")} from b),
-  i as (select distinct id, inventory_no from k join l using (k) where k <> ''),
-  s as (select id, inventory_no, case when f = df then 100 when {_MATCH('f')} = {_MATCH('df')} then 90 else 0 end + case when {_MATCH('n')} = {_MATCH('dn')} then 60 else 0 end as base,
-    coalesce(len(list_intersect(c, dc)), 0) as cas_overlap from i join a using (id) join b using (inventory_no)),
-  t as (select id, inventory_no, cast(base + case when cas_overlap >= 2 then 40 when cas_overlap = 1 then 15 else 0 end as int) as score, cast(cas_overlap as int) as cas_overlap from s)
-  select *, case when score >= 90 then 'strong' when score >= 60 then 'probable' else 'weak' end as tier from t""")
-def jon5_scored_matches(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "msds_sample").where("id is not null").groupBy("id").agg(F.min_by("fileName", "row_no").alias("f"), F.min_by("productName", "row_no").alias("n"))
-    cas = table(spark, d, "msds_ingredient").where(text.valid_cas(F.trim("casNo"))).groupBy(F.col("productId").alias("id")).agg(F.collect_set(F.trim("casNo")).alias("c"))
-    c = F.col
-    return op.scored_matches(g.join(cas, "id", "left"), "id", c("f"), c("n"), c("c"), table(spark, d, "pdf_inventory"), "inventory_no", c("fileName"), F.get("productNameCandidates", F.lit(0)), c("casNoCandidates"))
-
-
-@query(rf"""select min(v) as suggestion, count(*) as n from (select {_SEARCH('v')} as k, v, w from (select trim(productName) as v, 0 as w from msds_sample union all select trim(supplier), 1 from msds_sample)
-  where v <> '' and length(v) <= 60) where contains(k, '크릴') and k <> '크릴' group by k order by not starts_with(k, '크릴'), min(w), count(*) desc, length(min(v)), min(v) limit 8""")
-def top4_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    """The eight best completions of a word: those that start with it first, then by field, frequency, length and text."""
-    s = table(spark, d, "msds_sample")
-    pool = s.select(F.explode(F.array(*[F.struct(F.trim(c).alias("v"), F.lit(w).alias("w")) for w, c in enumerate(("productName", "supplier"))])).alias("x")).select("x.*")
-    g = pool.where("v <> '' and length(v) <= 60").groupBy(keys.search_key(F.col("v")).alias("k")).agg(F.min("v").alias("suggestion"), F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
-    hits = g.where(F.contains("k", F.lit("크릴")) & (F.col("k") != "크릴"))
-    return hits.orderBy(~F.startswith("k", F.lit("크릴")), "w", F.desc("n"), F.length("suggestion"), "suggestion").limit(8).select("suggestion", "n")
-
-
-#: Hazard codes that go with the signal word for danger only.
-DANGER_ONLY = "H220 H222 H224 H225 H230 H231 H250 H260 H270 H271 H300 H301 H304 H310 H311 H314 H318 H330 H331 H334 H340 H350 H360 H370 H372".split()
-
-
-@query(f"""with c as (select distinct row_no, unnest(regexp_extract_all(array_to_string(hazardStatements, ' '), 'H[0-9]{{3}}')) as h from msds_sample)
-  select 'SIGNAL_TOO_WEAK' as rule, c.row_no, string_agg(h, ',' order by h) as codes from c join msds_sample s using (row_no)
-  where h in ({", ".join(f"'{h}'" for h in DANGER_ONLY)}) and lower(trim(s.signalWord)) in ('경고', 'warning') group by c.row_no""")
-def val7_signal_rules(spark: SparkSession, d: str) -> DataFrame:
-    h = F.array_distinct(F.regexp_extract_all(F.array_join("hazardStatements", " "), F.lit("H[0-9]{3}"), F.lit(0)))
-    bad = F.array_sort(F.array_intersect(h, F.array(*[F.lit(x) for x in DANGER_ONLY])))
-    s = table(spark, d, "msds_sample").where(text.signal_word(F.col("signalWord")) == "경고").select(F.lit("SIGNAL_TOO_WEAK").alias("rule"), "row_no", F.array_join(bad, ",").alias("codes"))
-    return s.where("codes <> ''")
-
-
-@query(rf"""select code, phrase, n, total from (select *, cast(sum(n) over (partition by code) as bigint) as total, row_number() over (partition by code order by n desc, phrase) as r from (
-  select regexp_extract(s, '^([HP][0-9]{{3}}) ', 1) as code, regexp_replace(regexp_replace(s, '^[HP][0-9]{{3}} ', ''), '[{_B},.·ㆍ∙]', '', 'g') as phrase, count(*) as n
-  from (select unnest(hazardStatements) as s from msds_sample) where regexp_matches(s, '^[HP][0-9]{{3}} ') group by all)) where r = 1 and n >= 3 and total >= 4""")
-def agg8_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent phrase of every hazard code, where it is common enough to judge others by it."""
-    s = table(spark, d, "msds_sample").select(F.explode("hazardStatements").alias("s")).where(F.col("s").rlike("^[HP][0-9]{3} "))
-    g = s.groupBy(F.substring("s", 1, 4).alias("code"), keys.paragraph_key(F.regexp_replace("s", "^[HP][0-9]{3} ", "")).alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
-    top = g.groupBy("code").agg(F.min(F.struct((-F.col("n")).alias("m"), "phrase")).alias("t"), F.sum("n").alias("total"))
-    return top.select("code", "t.phrase", (-F.col("t.m")).alias("n"), "total").where("n >= 3 and total >= 4")
