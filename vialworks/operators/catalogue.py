@@ -90,37 +90,39 @@ def count_by_vocabulary(df: DataFrame, value: str, vocabulary: list[str]) -> Dat
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, path: str, digest: str) -> DataFrame:
-    """(path, status): unchanged, changed_same_path, new_file, moved_or_renamed_candidate, deleted_from_source.
+    """(path, status, candidates): unchanged, changed_same_path, new_file, moved_or_renamed_candidate, deleted_from_source.
 
     A path that is gone stays deleted even if its content lies elsewhere; a new path with known content is a candidate
-    for a move.
+    for a move. candidates: the files of the same content on the other side of a gone or new path. Paths are unique.
     """
     o, n = old.select(F.col(path).alias("p"), F.col(digest).alias("od")), new.select(F.col(path).alias("p"), F.col(digest).alias("nd"))
-    known = old.select(F.col(digest).alias("nd"), F.lit(True).alias("known")).distinct()
-    both = o.join(n, "p", "full_outer").join(known, "nd", "left")
-    status = (
-        F.when(F.col("nd").isNull(), "deleted_from_source").when(F.col("od") == F.col("nd"), "unchanged").when(F.col("od").isNotNull(), "changed_same_path")
-        .when(F.col("known"), "moved_or_renamed_candidate").otherwise("new_file")
-    )
-    return both.select(F.col("p").alias(path), status.alias("status"))
+    count = lambda df, c, out: df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"__{out}")).agg(F.count(F.lit(1)).alias(out))
+    both = o.join(n, "p", "full_outer").join(count(o, "od", "in_old"), F.col("nd") == F.col("__in_old"), "left").join(count(n, "nd", "in_new"), F.col("od") == F.col("__in_new"), "left")
+    gone, fresh = F.col("nd").isNull() & F.col("od").isNotNull(), F.col("od").isNull()
+    status = F.when(gone, "deleted_from_source").when(F.col("od") == F.col("nd"), "unchanged").when(~fresh, "changed_same_path").when(F.col("in_old") > 0, "moved_or_renamed_candidate").otherwise("new_file")
+    found = F.when(gone, F.coalesce("in_new", F.lit(0))).when(fresh, F.coalesce("in_old", F.lit(0))).otherwise(0)
+    return both.select(F.col("p").alias(path), status.alias("status"), found.cast("bigint").alias("candidates"))
 
 
 def lookalikes(df: DataFrame, key: str, name: str, least: int = 6, share: float = 0.3) -> DataFrame:
-    """(key, partners): how many other rows have a name that begins alike, for at least `least` letters and `share` of
-    the shorter name.
+    """(key, partners, prefix): how many other rows have a name that begins alike, for at least `least` letters and
+    `share` of the shorter name, and the longest such beginning.
 
     No pairs are made: names are counted by (beginning, length), and every name looks up the counts of its own
-    beginnings of the lengths that matter, so the work is linear in the number of names.
+    beginnings of the lengths that matter, so the work is linear in the letters of the names.
     """
     need = lambda n: F.greatest(F.lit(least), F.ceil(n * share)).cast("int")
     names = df.select(F.col(key), F.lower(name).alias("n")).where(F.length("n") >= least)
     distinct = names.groupBy("n").agg(F.count(F.lit(1)).alias("copies")).withColumn("len", F.length("n"))
-    heads = distinct.select("n", "len", "copies", F.explode(F.sequence(F.lit(least), need(F.col("len")))).alias("t")).select("n", "len", "copies", "t", F.expr("substring(n, 1, t)").alias("head"))
+    heads = distinct.select("n", "len", "copies", F.explode(F.sequence(F.lit(least), "len")).alias("t")).select("n", "len", "copies", "t", F.expr("substring(n, 1, t)").alias("head"))
     # a name of length L is counted under every beginning that a longer name could need of it
-    counts = heads.groupBy("head", "t", F.col("len").alias("other")).agg(F.sum("copies").alias("c"))
-    met = heads.join(counts, ["head", "t"]).where(F.col("t") == need(F.least("len", "other")))
+    counts = heads.where(F.col("t") <= need(F.col("len"))).groupBy("head", "t", F.col("len").alias("other")).agg(F.sum("copies").alias("c"))
+    met = heads.where(F.col("t") <= need(F.col("len"))).join(counts, ["head", "t"]).where(F.col("t") == need(F.least("len", "other")))
     per = met.groupBy("n").agg((F.sum("c") - 1).alias("partners"))
-    return names.join(per, "n").where("partners > 0").select(key, "partners")
+    # a beginning counts if it is long enough for the name itself or for the shortest name that has it
+    shared = heads.groupBy("head", "t").agg(F.sum("copies").alias("c"), F.min("len").alias("shortest")).where("c > 1")
+    longest = heads.join(shared, ["head", "t"]).where(F.col("t") >= share * F.least("len", "shortest")).groupBy("n").agg(F.max("t").alias("prefix"))
+    return names.join(per, "n").where("partners > 0").join(longest, "n").select(key, "partners", "prefix")
 
 
 def guarded_patch(df: DataFrame, key: str, value: str, patches: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vialworks.functions import keys, text
 from vialworks.operators import catalogue as op
+from vialworks.operators.ordered import previous
 from vialworks.sources.tables import table
 
 FLAGS = ["managementTarget", "workplaceMonitoringTarget", "specialHealthCheckTarget"]
@@ -85,13 +86,6 @@ def scl10_initials(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "msds_sample").where("productName is not null").select("row_no", text.initials(F.col("productName")).alias("initials"))
 
 
-@query("""select row_no, c as code, count(*) as n from (select row_no, unnest(regexp_extract_all(upper(s), '[HP][0-9]{3}')) as c
-  from (select row_no, unnest(hazardStatements) as s from msds_sample)) group by all""")
-def scl11_hazard_codes(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "msds_sample").select("row_no", F.explode("hazardStatements").alias("s"))
-    return s.select("row_no", F.explode(F.regexp_extract_all(F.upper("s"), F.lit("[HP][0-9]{3}"), F.lit(0))).alias("code")).groupBy("row_no", "code").agg(F.count(F.lit(1)).alias("n"))
-
-
 _ALIASES = ", ".join(f"('{w}', '{c}')" for w, c in text.PICTOGRAM_OF.items())
 
 
@@ -186,40 +180,39 @@ def jon1_overrides(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""with n as (select distinct on (id) id, lower(productName) as n from msds_sample where length(productName) >= 6 order by id, row_no),
+@query("""with n as (select id, lower(n) as n from (select id, first(productName order by load_no desc, row_no desc) as n from msds_sample where id is not null group by id) where length(n) >= 6),
   c as (select a.id as ia, a.n as a, b.n as b, list_max(list_filter(range(0, least(length(a.n), length(b.n)) + 1), lambda k: left(a.n, cast(k as int)) = left(b.n, cast(k as int)))) as common
     from n a join n b on a.id <> b.id and left(a.n, 6) = left(b.n, 6))
-  select ia as id, count(*) as partners from c where common >= 6 and common >= 0.3 * least(length(a), length(b)) group by ia""")
+  select ia as id, count(*) as partners, max(common) as prefix from c where common >= 6 and common >= 0.3 * least(length(a), length(b)) group by ia""")
 def jon9_lookalikes(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "msds_sample").where("length(productName) >= 6").groupBy("id").agg(F.min_by("productName", "row_no").alias("productName"))
-    return op.lookalikes(first, "id", "productName")
+    """Entries by their latest name."""
+    live = table(spark, d, "msds_sample").where("id is not null").groupBy("id").agg(F.max(F.struct("load_no", "row_no", "productName")).alias("m")).select("id", "m.productName")
+    return op.lookalikes(live, "id", "productName")
 
 
-_OLD = "select fileName as p, min(sha256) as d from pdf_inventory where inventory_no % 10 <> 3 group by fileName"
-_NEW = "select case when min(inventory_no) % 7 = 0 then 'moved/' || fileName else fileName end as p, case when min(inventory_no) % 13 = 0 then 'x' || min(sha256) else min(sha256) end as d from pdf_inventory where inventory_no % 10 <> 4 group by fileName"
+_OLD = "select relativePath as p, min(sha256) as d from pdf_inventory where relativePath is not null group by relativePath"
+_NEW = "select regexp_replace(pdfPath, '^/?pdf/', '') as p, min(sha256) as d from pdf_inventory where pdfPath is not null group by 1"
 
 
 @query(f"""with o as ({_OLD}), n as ({_NEW}) select coalesce(o.p, n.p) as relativePath, case when n.p is null then 'deleted_from_source' when o.d = n.d then 'unchanged'
-  when o.p is not null then 'changed_same_path' when n.d in (select d from o) then 'moved_or_renamed_candidate' else 'new_file' end as status from o full join n on o.p = n.p""")
+  when o.p is not null then 'changed_same_path' when n.d in (select d from o) then 'moved_or_renamed_candidate' else 'new_file' end as status,
+  case when n.p is null then coalesce((select count(*) from n m where m.d = o.d), 0) when o.p is null then coalesce((select count(*) from o m where m.d = n.d), 0) else 0 end as candidates from o full join n on o.p = n.p""")
 def set1_sync_plan(spark: SparkSession, d: str) -> DataFrame:
-    p, lowest = table(spark, d, "pdf_inventory"), F.min("inventory_no")
-    old = p.where("inventory_no % 10 <> 3").groupBy(F.col("fileName").alias("relativePath")).agg(F.min("sha256").alias("sha256"))
-    new = p.where("inventory_no % 10 <> 4").groupBy("fileName").agg(
-        F.when(lowest % 7 == 0, F.concat(F.lit("moved/"), F.first("fileName"))).otherwise(F.first("fileName")).alias("relativePath"),
-        F.when(lowest % 13 == 0, F.concat(F.lit("x"), F.min("sha256"))).otherwise(F.min("sha256")).alias("sha256"),
-    )
-    return op.snapshot_diff(old, new.select("relativePath", "sha256"), "relativePath", "sha256")
+    """The folder as it is listed against the library's published paths, with the number of files of the same content."""
+    p = table(spark, d, "pdf_inventory")
+    old = p.where("relativePath is not null").groupBy("relativePath").agg(F.min("sha256").alias("sha256"))
+    new = p.where("pdfPath is not null").groupBy(F.regexp_replace("pdfPath", "^/?pdf/", "").alias("relativePath")).agg(F.min("sha256").alias("sha256"))
+    return op.snapshot_diff(old, new, "relativePath", "sha256")
 
 
 @query("""select id, min(load_no) as load_no, list_sort(list_filter(b, lambda x: not list_contains(a, x))) as added, list_sort(list_filter(a, lambda x: not list_contains(b, x))) as removed from (
   select id, load_no, ghsCodes as b, lag(ghsCodes) over (partition by id order by load_no, row_no) as a from msds_sample where id is not null) where a is not null and b is not null
   and (len(list_filter(b, lambda x: not list_contains(a, x))) > 0 or len(list_filter(a, lambda x: not list_contains(b, x))) > 0) group by all""")
 def set6_code_changes(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("id").orderBy("load_no", "row_no")
-    s = table(spark, d, "msds_sample").where("id is not null").select("id", "load_no", F.col("ghsCodes").alias("b"), F.lag("ghsCodes").over(w).alias("a")).where("a is not null and b is not null")
-    out = s.select("id", "load_no", F.array_sort(F.array_except("b", "a")).alias("added"), F.array_sort(F.array_except("a", "b")).alias("removed")).where("size(added) > 0 or size(removed) > 0")
+    """Codes that a delivery adds to or removes from those of the one before."""
+    s = table(spark, d, "msds_sample").where("id is not null").select("id", "load_no", "row_no", "ghsCodes")
+    p = previous(s, ["id"], ["load_no", "row_no"], ["ghsCodes"]).select("id", "load_no", F.col("ghsCodes").alias("b"), F.col("prev.ghsCodes").alias("a")).where("a is not null and b is not null")
+    out = p.select("id", "load_no", F.array_sort(F.array_except("b", "a")).alias("added"), F.array_sort(F.array_except("a", "b")).alias("removed")).where("size(added) > 0 or size(removed) > 0")
     return out.groupBy("id", "added", "removed").agg(F.min("load_no").alias("load_no"))
 
 
@@ -236,23 +229,14 @@ def rul6_required_pictograms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "msds_sample").select("row_no", F.array_join(text.required_pictograms(h), ",").alias("needed")).where("needed <> ''")
 
 
-@query("""select grp, count(*) as n from (select case substr(regexp_extract(s, 'P[0-9]{3}'), 2, 1) when '1' then 'prevention' when '2' then 'prevention' when '3' then 'response' when '4' then 'storage' when '5' then 'disposal' else 'none' end as grp
-  from (select unnest(precautionaryStatements.prevention) as s from msds_sample) where s is not null) group by grp""")
-def rul8_precaution_groups(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "msds_sample").select(F.explode("precautionaryStatements.prevention").alias("s")).where("s is not null")
-    digit = F.substring(F.regexp_extract("s", "P[0-9]{3}", 0), 2, 1)
-    grp = F.when(digit.isin("1", "2"), "prevention").when(digit == "3", "response").when(digit == "4", "storage").when(digit == "5", "disposal").otherwise("none")
-    return s.groupBy(grp.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _PRECAUTION_LISTS = ("prevention", "response", "storage", "disposal")
 _RUL8_ALL = " union all ".join(f"select '{p}' as list, unnest(precautionaryStatements.{p}) as s from msds_sample" for p in _PRECAUTION_LISTS)
 
 
 @query(f"""select list, grp, count(*) as n from (select list, case substr(regexp_extract(s, 'P[0-9]{{3}}'), 2, 1) when '1' then 'prevention' when '2' then 'prevention' when '3' then 'response' when '4' then 'storage' when '5' then 'disposal' else 'none' end as grp
   from ({_RUL8_ALL}) where s is not null) group by list, grp""")
-def rul8_precaution_groups_all(spark: SparkSession, d: str) -> DataFrame:
-    """As rul8_precaution_groups, over all four lists of precautionary statements instead of prevention only."""
+def rul8_precaution_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Statements of all four lists by the group that the first digit of their code stands for."""
     parts = F.array(*[F.struct(F.lit(p).alias("list"), F.col(f"precautionaryStatements.{p}").alias("xs")) for p in _PRECAUTION_LISTS])
     s = table(spark, d, "msds_sample").select(F.explode(parts).alias("p")).select("p.list", F.explode("p.xs").alias("s")).where("s is not null")
     digit = F.substring(F.regexp_extract("s", "P[0-9]{3}", 0), 2, 1)
@@ -267,20 +251,6 @@ def mrg7_guarded_patch(spark: SparkSession, d: str) -> DataFrame:
     return op.guarded_patch(table(spark, d, "msds_sample").select("row_no", "id", "signalWord"), "id", "signalWord", patches).select("row_no", "signalWord", "patched")
 
 
-@query(r"""select 'error' as severity, 'ID_MISSING' as code, cast(row_no as varchar) as subject from msds_sample where coalesce(trim(id), '') = ''
-  union all select 'error', 'MSDS_NO_FORM', cast(row_no as varchar) from msds_sample where coalesce(msdsNo, '') <> '' and not regexp_full_match(msdsNo, '[A-Z]{2}[0-9]{5}-[0-9]{10}')
-  union all select 'warning', 'NO_PDF', cast(row_no as varchar) from msds_sample where not regexp_matches(lower(coalesce(pdfPath, '')), '\.pdf$')
-  union all select 'warning', 'PATH_UNSAFE', cast(row_no as varchar) from msds_sample where regexp_matches(coalesce(pdfPath, ''), '(^|/)\.\.(/|$)|^[a-z]+:')
-  union all select 'warning', 'NO_HAZARD_TEXT', cast(row_no as varchar) from msds_sample where coalesce(len(hazardStatements), 0) = 0 and not coalesce(hazardNotClassified, false)""")
-def val1_violations(spark: SparkSession, d: str) -> DataFrame:
-    c = lambda n: F.coalesce(F.col(n), F.lit(""))
-    return op.violations(table(spark, d, "msds_sample"), "row_no", [
-        ("error", "ID_MISSING", F.trim(c("id")) == ""), ("error", "MSDS_NO_FORM", (c("msdsNo") != "") & ~c("msdsNo").rlike("^[A-Z]{2}[0-9]{5}-[0-9]{10}$")),
-        ("warning", "NO_PDF", ~F.lower(c("pdfPath")).rlike(r"\.pdf$")), ("warning", "PATH_UNSAFE", c("pdfPath").rlike(r"(^|/)\.\.(/|$)|^[a-z]+:")),
-        ("warning", "NO_HAZARD_TEXT", (F.coalesce(F.size("hazardStatements"), F.lit(0)) <= 0) & ~F.coalesce("hazardNotClassified", F.lit(False))),
-    ])
-
-
 @query(r"""select row_no, v as cell from (select row_no, case when regexp_matches(w, '[",\r\n]') then '"' || replace(w, '"', '""') || '"' else w end as v
   from (select row_no, case when regexp_matches(x, '^[=+\-@\t\r]') then '''' || x else x end as w from (select row_no, coalesce(emergencyContact, '') as x from msds_sample)))""")
 def snk1_csv_cells(spark: SparkSession, d: str) -> DataFrame:

@@ -587,3 +587,37 @@ def flt10_has_summary(spark: SparkSession, d: str) -> DataFrame:
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     return table(spark, d, "msds_sample").select("row_no", (some("hazardStatements") | some("ghsCodes") | filled("ppeSummary") | filled("signalWord")).alias("has_summary"))
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries by their latest delivery, with their distinct registry numbers."""
+    s = table(spark, d, "msds_sample").where("id is not null").groupBy("id").agg(F.max(F.struct("load_no", "row_no", "fileName", "productName", "erpName", "msdsNo")).alias("m"))
+    cas = table(spark, d, "msds_ingredient").where(text.valid_cas(F.trim("casNo"))).groupBy(F.col("productId").alias("id")).agg(F.array_sort(F.collect_set(F.trim("casNo"))).alias("cas"))
+    return s.select("id", F.col("m.fileName").alias("file"), F.col("m.productName").alias("name"), F.col("m.erpName").alias("erp"), F.col("m.msdsNo").alias("number")).join(cas, "id", "left")
+
+
+@query()
+def jon5_scored_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the library that fit an entry, by all reasons that the tables can feed. Tested against all pairs."""
+    from vialworks.operators import matching
+
+    p = table(spark, d, "pdf_inventory").select(F.col("inventory_no").alias("document"), F.col("fileName").alias("file"), F.col("productNameCandidates").alias("names"), F.array().cast("array<string>").alias("numbers"), F.col("casNoCandidates").alias("cas"))
+    return matching.scored_matches(_entries(spark, d), p)
+
+
+@query()
+def scl4_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different name keys of entries and files that are alike."""
+    from vialworks.operators import matching
+
+    k = lambda c: keys.match_key(c).alias("k")
+    return matching.similar_names(_entries(spark, d).select(k(F.col("name"))).where("k is not null"), table(spark, d, "pdf_inventory").select(F.explode("productNameCandidates").alias("n")).select(k(F.col("n"))).where("k is not null"))
+
+
+@query()
+def rul15_link_status(spark: SparkSession, d: str) -> DataFrame:
+    """The state of every entry's link: exact, by key, one good candidate, several, weak, none."""
+    m = jon5_scored_matches(spark, d)
+    best = m.groupBy("id").agg(F.max("score").alias("score"), F.count_if(F.contains("reasons", F.lit("same_file"))).alias("exact"), F.count_if(F.contains("reasons", F.lit("file_key"))).alias("by_key"), F.count_if(F.col("tier") != "weak").alias("good"))
+    status = F.when(F.col("exact") > 0, "exact").when(F.col("by_key") > 0, "normalised").when(F.col("good") > 1, "multiple").when(F.col("good") == 1, "probable").when(F.col("score").isNotNull(), "weak").otherwise("pdf_missing")
+    return _entries(spark, d).select("id").join(best, "id", "left").select("id", status.alias("status"), F.coalesce("score", F.lit(0)).alias("score"))

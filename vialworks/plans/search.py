@@ -186,3 +186,12 @@ def scl43_highlight(spark: SparkSession, d: str) -> DataFrame:
     at = F.instr(F.lower("productName"), F.lit("크릴"))
     s = table(spark, d, "msds_sample").withColumn("at", at).where("at > 0")
     return s.select("row_no", "at", F.expr("substring(productName, 1, at - 1)").alias("before"), F.expr("substring(productName, at + 2)").alias("after"))
+
+
+@query(f"""select row_no, c as code, count(*) as n from (select row_no, unnest(list_transform(regexp_extract_all({_LIST('hazardStatements')} || ' ' || {_ALL_P}, '(?i)\\b[HP]\\s*[-_]?\\s*[0-9]{{3}}\\b'), lambda x: regexp_replace(upper(x), '[^A-Z0-9]', '', 'g'))) as c from msds_sample) group by row_no, c""")
+def scl11_hazard_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes in all statements of an entry, also with a blank or dash inside."""
+    p = [F.array_join(F.col(f"precautionaryStatements.{x}"), " ") for x in _P]
+    found = F.regexp_extract_all(F.concat_ws(" ", F.array_join("hazardStatements", " "), *p), F.lit(r"(?i)(?<![0-9A-Za-z_])[HP]\s*[-_]?\s*[0-9]{3}(?![0-9A-Za-z_])"), F.lit(0))
+    s = table(spark, d, "msds_sample").select("row_no", F.explode(F.transform(found, lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9]", ""))).alias("code"))
+    return s.groupBy("row_no", "code").agg(F.count(F.lit(1)).alias("n"))
