@@ -508,15 +508,15 @@ def set9_stale_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "msds_sample").where("pdfPath <> '' and id is not null").groupBy("pdfPath").agg(F.countDistinct("id").alias("ids"), F.min("id").alias("first_id")).where("ids > 1")
 
 
-@query("""with l as (select lower(fileName) as n, sha256 as h, inventory_no from pdf_inventory), old as (select * from l where inventory_no % 5 <> 0), new as (select * from l where inventory_no % 5 = 0)
+@query("""with l as (select lower(fileName) as n, sha256 as h, inventory_no, inventoryStatus as st from pdf_inventory), old as (select * from l where st <> 'unmatched'), new as (select * from l where st = 'unmatched')
   select inventory_no, array_to_string(list_filter([case when h in (select h from old where h is not null) then 'same content in library' end, case when n in (select n from old where n is not null) then 'same name in library' end,
     case when count(h) over (partition by h) > 1 then 'same content in batch' end, case when count(n) over (partition by n) > 1 then 'same name in batch' end], lambda x: x is not null), ' / ') as issue from new""")
 def set3_incoming(spark: SparkSession, d: str) -> DataFrame:
-    """A batch of arriving files (every fifth) against the library (the rest)."""
+    """Files that no entry matches, as a batch of arriving ones, against the library, which are the others."""
     from vialworks.streaming.incoming import classify
 
     p = table(spark, d, "pdf_inventory")
-    return classify(p.where("inventory_no % 5 = 0").select("inventory_no", "fileName", "sha256"), p.where("inventory_no % 5 <> 0")).select("inventory_no", "issue")
+    return classify(p.where("inventoryStatus = 'unmatched'").select("inventory_no", "fileName", "sha256"), p.where("inventoryStatus <> 'unmatched'")).select("inventory_no", "issue")
 
 
 @query("""select override_no, row_number() over (order by reviewStatus nulls last, matchTarget.relativePath nulls last, override_no) as place from msds_overrides order by place limit 40""")
