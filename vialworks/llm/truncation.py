@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vialworks.llm.scans import reassemble, without_pages
 from vialworks.llm.statements import HEAD, MORE, Labeller, Model, Reader, rows_of_lists, sentences, train
+from vialworks.session import checkpoint
 
 
 def length_hazards(lengths: DataFrame, by: list[str], length: str, reach: int = 5, level: float = 0.01) -> DataFrame:
@@ -32,7 +33,7 @@ def length_hazards(lengths: DataFrame, by: list[str], length: str, reach: int =
     approximation; level: the false-discovery rate over the tests of all groups together (Benjamini and Hochberg). Null
     lengths are left out. The windows run over counts, one row a group and length, never over texts.
     """
-    h = lengths.where(F.col(length).isNotNull()).groupBy(*by, F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    h = checkpoint(lengths.where(F.col(length).isNotNull()).groupBy(*by, F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy(*by).orderBy(F.desc("length"))  # one row a length
     near = Window.partitionBy(*by).orderBy("length").rangeBetween(-reach, reach)
     h = h.withColumn("at_risk", F.sum("n").over(w))
@@ -50,7 +51,7 @@ def length_hazards(lengths: DataFrame, by: list[str], length: str, reach: int =
     return h.join(F.broadcast(passed)).withColumn("significant", F.coalesce(F.col("p_value") <= F.col("__cut"), F.lit(False))).drop("__cut")
 
 
-def find_truncated(df: DataFrame, key: str, source: str, fields: dict[str, Column], level: float = 0.01, sample: int = 5_000, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
+def find_truncated(df: DataFrame, key: str, source: str, fields: dict[str, Column], level: float = 0.01, sample: int = 2_000, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
     """(key, field_name, item_no, source, length, marked, significant, reason): every item whose end is missing.
 
     reason: `limit` for an incomplete ending at a significant length, where an ending must be certain to pass; `transfer`
