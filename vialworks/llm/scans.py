@@ -220,11 +220,11 @@ def _schema(df: DataFrame, key: str, *more: tuple[str, T.DataType]) -> T.StructT
     return T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("field_name", T.StringType()), *(T.StructField(n, t) for n, t in more)])
 
 
-def find_damaged(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_000, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
+def find_damaged(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 2_000, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
     """(key, field_name, item_no): every item that the scan damaged. trained: a model that `train` has made already."""
     return _run(df, key, fields, sample, _schema(df, key, ("item_no", T.IntegerType())), lambda xs, r: [(i,) for i in damaged(xs, r)], trained)
 
 
-def clean_statements(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_000, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
+def clean_statements(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 2_000, trained: tuple[Model, Labeller] | None = None) -> DataFrame:
     """(key, field_name, statement_no, statement): the repaired statements of every list."""
     return _run(df, key, fields, sample, _schema(df, key, ("statement_no", T.IntegerType()), ("statement", T.StringType())), lambda xs, r: list(enumerate(reassemble(xs, r), 1)), trained)

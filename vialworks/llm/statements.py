@@ -144,8 +144,10 @@ def learn(texts: DataFrame, item: str = "item", min_share: float = 5e-5, word_sh
     """
     t = F.col("t")
     plain = t.rlike(r"^[\p{L}\p{N} .,:;()/'’!?。+%&-]+$") & ~t.rlike(r"\.\.|  |[a-z]!| - | [.,;:]")
-    used = texts.select(F.trim(item).alias("t")).where(plain & (t.rlike("[.!?。]$") | ~t.rlike(PAGE_JVM)))
-    corpus = used.select(F.regexp_replace(F.regexp_replace("t", CODE_JVM, ""), "[0-9]+", "0").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    masked = texts.select(F.regexp_replace(F.regexp_replace(F.trim(item), CODE_JVM, ""), "[0-9]+", "0").alias("t"))
+    different = checkpoint(masked.groupBy("t").agg(F.count(F.lit(1)).alias("n")))  # the patterns below then meet each text once
+    closed = t.rlike("[.!?。]$")
+    corpus = different.where(plain & (closed | ~t.rlike(PAGE_JVM)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, int] = {}
@@ -172,13 +174,13 @@ def learn(texts: DataFrame, item: str = "item", min_share: float = 5e-5, word_sh
         yield pd.DataFrame({"g": list(sums), "n": list(sums.values())})
 
     grams = checkpoint(corpus.mapInPandas(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")))
-    heads = texts.select(F.trim(item).alias("t")).where(~F.col("t").rlike("[.!?。]$") & (F.length("t") <= 120) & F.col("t").rlike(PAGE_JVM)).groupBy(F.regexp_replace("t", "[0-9]+", "0").alias("t")).agg(F.count(F.lit(1)).alias("n"))
     total = grams.where("g = 'N'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(2, min_share * total)
     parts: dict[str, dict[str, int]] = {"W": {}, "E": {}, "I": {}, "S": {}}
     for r in grams.where((F.col("n") >= least) & (F.col("g") != "N")).toLocalIterator():
         parts[r.g[0]][r.g[1:]] = r.n
-    repeated = frozenset(r.t for r in heads.where(F.col("n") >= max(5, least)).toLocalIterator())
+    heads = different.where((F.col("n") >= max(5, least)) & ~closed & (F.length("t") <= 120) & t.rlike(PAGE_JVM))
+    repeated = frozenset(r.t for r in heads.select("t").toLocalIterator())
     return Model(total, parts["W"], parts["E"], parts["I"], parts["S"], repeated, word_share)
 
 
@@ -208,6 +210,10 @@ class Line:
     noisy: bool  # holds marks or blanks that statements don't have
     headish: bool  # may be a page's head or foot
     features: tuple  # by KINDS, without those that depend on the list
+    number: int  # of the features
+
+
+_NUMBERS: dict[tuple, int] = {}
 
 
 TAIL = re.compile(r"\s*(?:\.{2,}|…|�)+\s*$")
@@ -230,7 +236,7 @@ def read_line(c: str, coded: bool, model: Model) -> Line:
     starter = bool(toks) and toks[0] in model.starters
     if not odd and toks and toks[-1] in STOPS and (len(toks) < 2 or toks[-2] != "0"):  # a plain whole statement
         features = (0, False, False, coded, starter or coded, True, len(toks) < 6, False)
-        return Line(coded, tuple(toks), tuple(toks), 0, False, True, False, True, True, starter, False, False, features)
+        return Line(coded, tuple(toks), tuple(toks), 0, False, True, False, True, True, starter, False, False, features, _NUMBERS.setdefault(features, len(_NUMBERS)))
     plain = tokens(_unmarked(c)) if odd and _MARK.search(c) else toks
     marked = bool(toks) and (toks[-1] in ("…", "..", "�") or toks[-1].startswith(".."))
     fixed = [t if t in lexicon else model.repair(t) or t for t in plain] if odd else toks
@@ -252,7 +258,7 @@ def read_line(c: str, coded: bool, model: Model) -> Line:
     noisy = bool(odd) and NOISE.search(TAIL.sub("", c)) is not None
     headish = (paged or foreign > 0) and not coded
     features = (0 if not foreign else 1 if share < 0.34 else 2, noisy, paged, coded, starter or coded, closed, len(toks) < 6, headish and c in model.repeated)
-    return Line(coded, tuple(toks), tuple(fixed), foreign, paged, closed, marked, ended, sure, starter, noisy, headish, features)
+    return Line(coded, tuple(toks), tuple(fixed), foreign, paged, closed, marked, ended, sure, starter, noisy, headish, features, _NUMBERS.setdefault(features, len(_NUMBERS)))
 
 
 def bridged(a: Line, b: Line, model: Model) -> bool:
@@ -304,6 +310,7 @@ class Labeller:
     move: dict[tuple[int, bool], tuple[float, ...]] = field(default_factory=dict)  # by (state before or -1, open)
     memory: dict[tuple, list[tuple[str, bool]]] = field(default_factory=dict)
     seen: dict[tuple, tuple[float, ...]] = field(default_factory=dict)
+    plain: dict[tuple[int, ...], list[tuple[str, bool]]] = field(default_factory=dict)
 
     @classmethod
     def prior(cls) -> Labeller:
@@ -313,7 +320,7 @@ class Labeller:
         return m
 
     @classmethod
-    def fit(cls, lists: list[tuple[list[Line], list[int]]], model: Model, rounds: int = 8, weight: float = 0.5) -> Labeller:
+    def fit(cls, lists: list[tuple[list[Line], list[int]]], model: Model, rounds: int = 5, weight: float = 0.5) -> Labeller:
         """Baum-Welch over the different readings of the lists, each counted as often as it occurs. The prior weighs as
         much as `weight` lines in every line of a state that is expected, and 50 lines at least."""
         m = cls.prior()
@@ -407,12 +414,22 @@ class Labeller:
 
     def label(self, lines: list[Line], model: Model, broken: list[int] | None = None) -> list[tuple[str, bool]]:
         """(label, damaged) of every line. broken: 1 for the first line of an item with line breaks, 2 for a later one."""
+        plain: tuple[int, ...] | None = None
+        if (broken is None or not any(broken)) and all(x.closed and not x.headish for x in lines):  # closed lines go on with none
+            plain = tuple([x.number for x in lines])
+            got = self.plain.get(plain)
+            if got is not None:
+                return got
         key = self.key(lines, broken or [0] * len(lines), model)
         got = self.memory.get(key)
         if got is None:
             if len(self.memory) > 100_000:
                 self.memory.clear()
             got = self.memory[key] = self._decode(key)
+        if plain is not None:
+            if len(self.plain) > 100_000:
+                self.plain.clear()
+            self.plain[plain] = got
         return got
 
     def _decode(self, key: tuple) -> list[tuple[str, bool]]:
@@ -477,7 +494,7 @@ class Reader:
         return numbers, texts, lines, self.labeller.label(lines, self.model, broken) if lines else []
 
 
-def train(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 5_000, **shares: float) -> tuple[Model, Labeller]:
+def train(df: DataFrame, key: str, fields: dict[str, Column], sample: int = 2_000, **shares: float) -> tuple[Model, Labeller]:
     """The model of all statements, and the labeller, fitted to the lists of a sample of at most `sample` rows.
 
     The sample is the rows with the least hashes of their key, so it is the same however the table is partitioned.
