@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vialworks.llm import bpe, names, packing, pieces, scans, survivor, truncation
 from vialworks.operators.timestamps import normalise_timestamps
+from vialworks.session import checkpoint
 from vialworks.sources.tables import table
 
 CAPACITY = 2048
@@ -63,24 +64,25 @@ def p3_companies(spark: SparkSession, d: str) -> DataFrame:
 def _deliveries(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "data_source")
     rows = table(spark, d, "msds_sample").select("row_no", "id", "dataSource", "revisionDate", "productName", "fileName", "pdfPath", "loaded_at")
-    return normalise_timestamps(rows, "revisionDate", "dataSource", sources, "loaded_at").join(sources.select("dataSource", "trust_rank"), "dataSource", "left")
+    dated = normalise_timestamps(rows, "revisionDate", "dataSource", sources, "loaded_at").join(sources.select("dataSource", "trust_rank"), "dataSource", "left")
+    named = ~survivor.stand_in(F.col("productName")) & ~survivor.lost_end(F.col("productName"), F.col("fileName"))
+    filed = ~survivor.stand_in(F.col("pdfPath")) & survivor.finished_pdf(F.col("pdfPath"))
+    return dated.select("row_no", "id", "utc_us", "trust_rank", "revisionDate", F.when(named, F.col("productName")).alias("productName"), F.when(filed, F.col("pdfPath")).alias("pdfPath"))
 
 
 def _merged_fields() -> dict[str, survivor.Field]:
     trust, at, first = -F.coalesce("trust_rank", F.lit(1 << 30)), F.col("utc_us"), -F.col("row_no")
-    named = ~survivor.stand_in(F.col("productName")) & ~survivor.lost_end(F.col("productName"), F.col("fileName"))
-    filed = ~survivor.stand_in(F.col("pdfPath")) & survivor.finished_pdf(F.col("pdfPath"))
     return {
         "revisionDate": survivor.Field(F.col("revisionDate"), at.isNotNull(), (), at, (trust, first)),
-        "productName": survivor.Field(F.col("productName"), named, (trust,), at, (first,)),
-        "pdfPath": survivor.Field(F.col("pdfPath"), filed, (trust,), at, (first,)),
+        "productName": survivor.Field(F.col("productName"), F.col("productName").isNotNull(), (trust,), at, (first,)),
+        "pdfPath": survivor.Field(F.col("pdfPath"), F.col("pdfPath").isNotNull(), (trust,), at, (first,)),
     }
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The merge with the order that TESTDATA.md fixes; among product names of equal trust, the learned precedence puts
     names without a time behind those that follow them elsewhere."""
-    rows, fields = _deliveries(spark, d), _merged_fields()
+    rows, fields = checkpoint(_deliveries(spark, d)), _merged_fields()  # read several times
     learned = survivor.precedence(rows.where(fields["productName"].usable), "id", "productName", "utc_us")
     return survivor.survivors(rows, "id", "row_no", fields, {"productName": survivor.sure_order(learned)})
 
@@ -92,7 +94,7 @@ def p6_fixed_order(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_current_names(spark: SparkSession, d: str) -> DataFrame:
     """The most current usable product name of each entry, by times and by learned precedence of names."""
-    rows = _deliveries(spark, d).where(~survivor.stand_in(F.col("productName")) & ~survivor.lost_end(F.col("productName"), F.col("fileName")))
+    rows = checkpoint(_deliveries(spark, d).where("productName is not null").select("id", "productName", "utc_us"))  # read several times
     learned = survivor.precedence(rows, "id", "productName", "utc_us")
     return survivor.latest_values(rows, "id", "productName", "utc_us", learned)
 
