@@ -170,10 +170,9 @@ def no_label_element(c: Column) -> Column:
     return F.coalesce(holds(keys.search_key(c), NO_LABEL), F.lit(False))
 
 
-def precaution_group(c: Column) -> Column:
-    """The group of a precaution: by its codes, then by its words, then by the digits of its codes; '' without a code."""
-    codes = F.regexp_extract_all(F.upper(c), F.lit("P[0-9]{3}"), F.lit(0))
-    key = keys.search_key(c)
+def precaution_group(codes: Column, key: Column) -> Column:
+    """The group of a precaution: by its codes, then by its words (`key`, the text's search key), then by the digits of its
+    codes; '' without a code."""
     digits = F.transform(codes, lambda x: F.substring(x, 2, 1))
     by_code = reduce(lambda acc, g: acc.when(F.arrays_overlap(codes, F.array(*[F.lit(x) for x in PRECAUTION_CODES[g]])), F.lit(g)), PRECAUTION_CODES, F.when(F.coalesce(F.size(codes), F.lit(0)) <= 0, F.lit("")))
     by_word = reduce(lambda acc, g: acc.when(holds(key, PRECAUTION_WORDS[g]), F.lit(g)), PRECAUTION_WORDS, by_code)
@@ -195,9 +194,9 @@ def inferred_pictograms(c: Column) -> Column:
     return F.when(no_label_element(c), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(wanted(r), F.lit(g)) for g, r in CLASSES.items()])))
 
 
-def cautions(c: Column) -> Column:
-    """Numbers of the warnings, as group and number, that the words of a text ask for; at most five a group."""
-    key = keys.search_key(c)
+def cautions(key: Column) -> Column:
+    """Numbers of the warnings, as group and number, that the words of a text's search key ask for; at most five a group.
+    The key stands many times in the result, so it should be a column of its own."""
     return F.array_compact(F.array(*[F.when(holds(key, ws), F.lit(f"{g}{n}")) for g, n, ws in CAUTIONS]))
 
 

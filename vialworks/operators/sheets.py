@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,7 +132,9 @@ def sections(text: str) -> dict[int, list[str]]:
     out: dict[int, list[str]] = {}
     now = 0
     for line in map(repaired, (text or "").splitlines()):
-        now = next((n for n, h in _HEADING.items() if h.match(flat(line))), now)
+        if any(c.isdigit() for c in line[:12]):
+            head = flat(line)
+            now = next((n for n, h in _HEADING.items() if h.match(head)), now)
         if now and line.strip():
             out.setdefault(now, []).append(line)
     return out
@@ -484,33 +487,82 @@ SCHEMA = (
 )
 
 
-def record(text: str | None) -> dict:
-    """Everything that is read from one sheet."""
-    text = text or ""
-    s = sections(text)
-    lines = [x for x in text.splitlines() if x.strip()]
-    one, two, three = s.get(1) or lines, s.get(2, []), s.get(3, [])
-    said, groups = statements(two)
-    signal, rule = signal_word(text)
-    part = section_two(two)
-    revised, issued = labelled_dates(text, REVISED), labelled_dates(text, ISSUED)
-    return {
-        "sections": sorted(s), "product": field(one, FIELDS["product"]), "supplier": field(one, FIELDS["supplier"]), "number": field(lines, FIELDS["number"]), "revised": revised[-1] if revised else "", "issued": issued[0] if len(issued) == 1 else "",
-        "phone": emergency_phone(text), "address": address(one), "signal": signal, "signal_rule": rule, "hazards": part["hazards"], "unclassified": part["none"], "candidates": hazard_candidates(two), "statements": said, "precautions": groups,
-        "by_label": sorted_precautions(between(two, CAUTION_LABEL, _HEADING[3])), "classification": classification(two), "pictograms": pictograms(two), "ingredients": ingredients(three), "components": components(three),
-        "cas_names": [{"cas": c, "name": n} for c, n in cas_table(lines).items()], "aid": [{"route": r, "pos": i, "item": x} for r, xs in first_aid(s.get(4, [])).items() for i, x in enumerate(usable_aid(r, xs), 1)],
-        "flags": legal_flags(s.get(15, [])), "equipment": equipment(lines), "status": "candidate_extracted" if text.strip() else "text_missing",
-    }
-
-
-def records(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, and everything in SCHEMA) of every text."""
-    schema = StructType([df.schema[key], *_parse_datatype_string(SCHEMA).fields])
+class Sheet:
+    """One sheet; what is read of it is read when it is asked for, once."""
+
+    def __init__(self, text: str | None):
+        self.text = text or ""
+
+    @cached_property
+    def parts(self) -> dict[int, list[str]]:
+        return sections(self.text)
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return [x for x in self.text.splitlines() if x.strip()]
+
+    @cached_property
+    def said(self) -> tuple[list[str], dict[str, list[str]]]:
+        return statements(self.parts.get(2, []))
+
+    @cached_property
+    def word(self) -> tuple[str, int]:
+        return signal_word(self.text)
+
+    @cached_property
+    def two(self) -> dict:
+        return section_two(self.parts.get(2, []))
+
+
+def _last(dates: list[str]) -> str:
+    return dates[-1] if dates else ""
+
+
+READERS = {
+    "sections": lambda s: sorted(s.parts),
+    "product": lambda s: field(s.parts.get(1) or s.lines, FIELDS["product"]),
+    "supplier": lambda s: field(s.parts.get(1) or s.lines, FIELDS["supplier"]),
+    "number": lambda s: field(s.lines, FIELDS["number"]),
+    "revised": lambda s: _last(labelled_dates(s.text, REVISED)),
+    "issued": lambda s: _last(d if len(d := labelled_dates(s.text, ISSUED)) == 1 else []),
+    "phone": lambda s: emergency_phone(s.text),
+    "address": lambda s: address(s.parts.get(1) or s.lines),
+    "signal": lambda s: s.word[0],
+    "signal_rule": lambda s: s.word[1],
+    "hazards": lambda s: s.two["hazards"],
+    "unclassified": lambda s: s.two["none"],
+    "candidates": lambda s: hazard_candidates(s.parts.get(2, [])),
+    "statements": lambda s: s.said[0],
+    "precautions": lambda s: s.said[1],
+    "by_label": lambda s: sorted_precautions(between(s.parts.get(2, []), CAUTION_LABEL, _HEADING[3])),
+    "classification": lambda s: classification(s.parts.get(2, [])),
+    "pictograms": lambda s: pictograms(s.parts.get(2, [])),
+    "ingredients": lambda s: ingredients(s.parts.get(3, [])),
+    "components": lambda s: components(s.parts.get(3, [])),
+    "cas_names": lambda s: [{"cas": c, "name": n} for c, n in cas_table(s.lines).items()],
+    "aid": lambda s: [{"route": r, "pos": i, "item": x} for r, xs in first_aid(s.parts.get(4, [])).items() for i, x in enumerate(usable_aid(r, xs), 1)],
+    "flags": lambda s: legal_flags(s.parts.get(15, [])),
+    "equipment": lambda s: equipment(s.lines),
+    "status": lambda s: "candidate_extracted" if s.text.strip() else "text_missing",
+}
+
+
+def record(text: str | None, wanted: list[str] | None = None) -> dict:
+    """What is read from one sheet: the wanted fields of SCHEMA, or all."""
+    sheet = Sheet(text)
+    return {f: READERS[f](sheet) for f in wanted or READERS}
+
+
+def records(df: DataFrame, key: str, text: str, wanted: list[str] | None = None) -> DataFrame:
+    """(key, and the wanted fields of SCHEMA, or all) of every text."""
+    fields = [f for f in _parse_datatype_string(SCHEMA).fields if not wanted or f.name in wanted]
+    schema = StructType([df.schema[key], *fields])
     arrow = to_arrow_schema(schema)
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [record(t) for t in batch.column(1).to_pylist()]
+            rows = [record(t, names) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *[pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[1:]]], schema=arrow)
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)

@@ -11,8 +11,8 @@ from vialworks.plans.catalogue import _CAS, query
 from vialworks.sources.tables import table
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    return sheets.records(table(spark, d, "documents"), "doc_id", "text")
+def _records(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
+    return sheets.records(table(spark, d, "documents"), "doc_id", "text", list(wanted))
 
 
 _LINE = "(select doc_id, generate_subscripts(ls, 1) as pos, unnest(ls) as l from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null))"
@@ -65,69 +65,69 @@ def ext9_coded_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ext4_basic_info(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).select("doc_id", "product", "supplier", "number", "phone", "revised", "issued")
+    return _records(spark, d, "product", "supplier", "number", "phone", "revised", "issued").select("doc_id", "product", "supplier", "number", "phone", "revised", "issued")
 
 
 @query()
 def ext6_ingredients(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).select("doc_id", F.posexplode("ingredients").alias("pos", "x")).select("doc_id", "pos", "x.*")
+    return _records(spark, d, "ingredients").select("doc_id", F.posexplode("ingredients").alias("pos", "x")).select("doc_id", "pos", "x.*")
 
 
 @query()
 def ext7_components(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).select("doc_id", F.posexplode("components").alias("pos", "x")).select("doc_id", "pos", "x.*")
+    return _records(spark, d, "components").select("doc_id", F.posexplode("components").alias("pos", "x")).select("doc_id", "pos", "x.*")
 
 
 @query()
 def ext8_statements(spark: SparkSession, d: str) -> DataFrame:
-    r = _records(spark, d)
+    r = _records(spark, d, "statements", "precautions")
     return r.select("doc_id", F.explode(F.concat(F.col("statements"), *[F.col(f"precautions.{g}") for g in sheets.GROUPS])).alias("statement"))
 
 
 @query()
 def ext10_precautions(spark: SparkSession, d: str) -> DataFrame:
-    r = _records(spark, d).select("doc_id", F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(f"by_label.{g}").alias("xs")) for g in sheets.GROUPS])).alias("p"))
+    r = _records(spark, d, "by_label").select("doc_id", F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.col(f"by_label.{g}").alias("xs")) for g in sheets.GROUPS])).alias("p"))
     return r.select("doc_id", "p.grp", F.explode("p.xs").alias("line"))
 
 
 @query()
 def ext11_section_two(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).where("array_contains(sections, 2)").select("doc_id", "signal", "hazards", "unclassified", "candidates")
+    return _records(spark, d, "sections", "signal", "hazards", "unclassified", "candidates").where("array_contains(sections, 2)").select("doc_id", "signal", "hazards", "unclassified", "candidates")
 
 
 @query()
 def ext12_legal_flags(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).select("doc_id", F.explode("flags").alias("x")).select("doc_id", "x.*")
+    return _records(spark, d, "flags").select("doc_id", F.explode("flags").alias("x")).select("doc_id", "x.*")
 
 
 @query()
 def ext13_first_aid(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).select("doc_id", F.explode("aid").alias("x")).select("doc_id", "x.*")
+    return _records(spark, d, "aid").select("doc_id", F.explode("aid").alias("x")).select("doc_id", "x.*")
 
 
 @query()
 def ext14_classification(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).where("array_contains(sections, 2)").select("doc_id", "classification")
+    return _records(spark, d, "sections", "classification").where("array_contains(sections, 2)").select("doc_id", "classification")
 
 
 @query()
 def ext15_signal_words(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).where("signal <> ''").select("doc_id", "signal", "signal_rule")
+    return _records(spark, d, "signal", "signal_rule").where("signal <> ''").select("doc_id", "signal", "signal_rule")
 
 
 @query()
 def ext16_equipment_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).select("doc_id", F.explode("equipment").alias("line"))
+    return _records(spark, d, "equipment").select("doc_id", F.explode("equipment").alias("line"))
 
 
 @query()
 def ext17_addresses(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).where("address <> ''").select("doc_id", "address")
+    return _records(spark, d, "address").where("address <> ''").select("doc_id", "address")
 
 
 @query()
 def ext18_cas_names(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).select("doc_id", F.explode("cas_names").alias("x")).select("doc_id", "x.*")
+    return _records(spark, d, "cas_names").select("doc_id", F.explode("cas_names").alias("x")).select("doc_id", "x.*")
 
 
 @query()
@@ -138,15 +138,15 @@ def ext19_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rul4_label_pictograms(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).where("pictograms is not null").select("doc_id", "pictograms")
+    return _records(spark, d, "pictograms").where("pictograms is not null").select("doc_id", "pictograms")
 
 
 @query()
 def scl9_document_dates(spark: SparkSession, d: str) -> DataFrame:
-    return _records(spark, d).select("doc_id", "revised", "issued")
+    return _records(spark, d, "revised", "issued").select("doc_id", "revised", "issued")
 
 
 @query()
 def src6_text_status(spark: SparkSession, d: str) -> DataFrame:
     """Whether a document has a text, and its sections."""
-    return _records(spark, d).select("doc_id", "status", F.size("sections").alias("sections"))
+    return _records(spark, d, "status", "sections").select("doc_id", "status", F.size("sections").alias("sections"))

@@ -57,7 +57,8 @@ _K = _SEARCH("concat_ws(' ', productName, erpName, useCategory, ppeSummary, arra
 def rul11_worker_cautions(spark: SparkSession, d: str) -> DataFrame:
     """The warnings that an entry's texts ask for, as group and number."""
     t = F.concat_ws(" ", "productName", "erpName", "useCategory", "ppeSummary", F.array_join("hazardStatements", " "))
-    return table(spark, d, "msds_sample").select("row_no", F.array_join(rules.cautions(t), ",").alias("warnings"))
+    s = table(spark, d, "msds_sample").select("row_no", keys.search_key(t).alias("k"))
+    return s.select("row_no", F.array_join(rules.cautions(F.col("k")), ",").alias("warnings"))
 
 
 _VOMIT = rules.VOMIT.replace("\\", "\\")
@@ -82,7 +83,8 @@ _CODE_SQL = lambda g: "len(list_intersect(codes, ['" + "', '".join(rules.PRECAUT
   from (select *, list_transform(codes, lambda x: substr(x, 2, 1)) as digits from (select row_no, list, pos, regexp_extract_all(upper(s), 'P[0-9]{{3}}') as codes, {_SEARCH('s')} as k from {_PRE}))""")
 def rul7_precaution_groups(spark: SparkSession, d: str) -> DataFrame:
     """The group of every precaution: by its codes, then by its words."""
-    return precautions(table(spark, d, "msds_sample")).select("row_no", "list", F.col("pos").cast("bigint").alias("pos"), rules.precaution_group(F.col("s")).alias("grp"))
+    p = precautions(table(spark, d, "msds_sample")).select("row_no", "list", F.col("pos").cast("bigint").alias("pos"), F.regexp_extract_all(F.upper("s"), F.lit("P[0-9]{3}"), F.lit(0)).alias("codes"), keys.search_key(F.col("s")).alias("k"))
+    return p.select("row_no", "list", "pos", rules.precaution_group(F.col("codes"), F.col("k")).alias("grp"))
 
 
 _PART = "list_filter(list_transform(string_split_regex(coalesce(t, ''), '[\\n;；/]|,\\s'), lambda x: regexp_replace(" + _SQUEEZE("x") + ", '[()\\[\\]·ㆍ:：\\-_,./]', '', 'g')), lambda x: x <> '')"
