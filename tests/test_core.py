@@ -136,7 +136,7 @@ def test_precautions_of_all_lists(spark, tmp_path):
     row = (["P210 a", "b", None], ["P301 c", "P210 d"], ["P403 e"], ["P501 f", "P501 g"])
     df = spark.createDataFrame([(row,), (None,), ((None, [], None, ["h"]),)], "precautionaryStatements struct<prevention array<string>, response array<string>, storage array<string>, disposal array<string>>")
     df.write.parquet(f"{tmp_path}/msds_sample.parquet")
-    assert {(r.list, r.grp): r.n for r in e.queries()["rul8_precaution_groups_all"](spark, str(tmp_path)).collect()} == {
+    assert {(r.list, r.grp): r.n for r in e.queries()["rul8_precaution_groups"](spark, str(tmp_path)).collect()} == {
         ("prevention", "prevention"): 1, ("prevention", "none"): 1, ("response", "response"): 1, ("response", "prevention"): 1, ("storage", "storage"): 1, ("disposal", "disposal"): 2, ("disposal", "none"): 1
     }
 
