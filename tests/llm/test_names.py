@@ -55,6 +55,17 @@ def test_trie_join_is_brute_force(spark):
     assert names.trie_join(df.limit(0)).count() == 0
 
 
+def test_trie_join_finds_lone_strings_that_do_not_query(spark):
+    """Shards of one index string and one query; strings of any length, also with the sign that ends a group's name."""
+    random.seed(5)
+    lone = [("g", "zorvanix", 1, False), ("g", "zorvanixx", 1, True), ("a|1", "ab|cd|ef", 2, False), ("a|1", "ab|cd|eff", 2, True), ("e", "", 1, False), ("e", "q", 1, True)]
+    texts = {"".join(random.choice("ab|") for _ in range(random.randint(0, 9))) for _ in range(60)} | set(near_words(40, 11))
+    rows = lone + [("m|2.", t, random.randint(1, 2), random.random() < 0.4) for t in sorted(texts)]
+    got = [tuple(r) for r in names.trie_join(spark.createDataFrame(rows, "grp string, text string, k int, queries boolean")).collect()]
+    want = {(g, a, b) for g, a, k, q in rows for h, b, m, p in rows if g == h and a < b and (q or p) and osa(a, b) <= min(k, m)}
+    assert len(got) == len(set(got)) and set(got) == want and {x[0] for x in want} == {"g", "a|1", "e", "m|2."}
+
+
 @pytest.mark.parametrize(
     ("name", "want"),
     [("㈜릴분붐콘상사", ("trading", ("릴분붐콘",))), ("Trading House, Rilbunbumkon Co.,Ltd", ("trading", ("rilbunbumkon",))), ("NaembamjaelnyeoChem. Co.,Ltd", ("chemical", ("naembamjaelnyeo",))),
@@ -95,6 +106,11 @@ def test_names_without_a_known_trade_and_reordered_words(spark):
     assert len(set(got.values())) == 4
 
 
+def test_name_without_a_trade_joins_the_one_company_near_to_it(spark):
+    got = linked(spark, [("Zorvanix Trading", None), ("Zorvanixx", None), ("Kelimador Steel", None)])
+    assert got["Zorvanix Trading"] == got["Zorvanixx"] != got["Kelimador Steel"]
+
+
 def test_short_names_need_a_witness(spark):
     rows = [("한솔 무역", "e1"), ("한술 무역", "e1"), ("한살 무역", "e2"), ("Acmeko", "e3"), ("Acmek", "e3"), ("Acmoko", "e4"), ("LG", "e5"), ("LGG", "e5"), ("LS", "e6")]
     got = linked(spark, rows)

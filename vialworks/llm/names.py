@@ -209,7 +209,7 @@ def shard_keys(text: str, k: int, query: bool) -> set[str]:
     """The shards a string is indexed in, or those in which a query must look. Strings too short to be parted share
     one shard for their length."""
     n, out = len(text), set()
-    for length in range(max(1, n - k), n + k + 1) if query else (n,):
+    for length in range(max(0, n - k), n + k + 1) if query else (n,):
         if length < 2 * k + 1:
             out.add(f"{k}.{length}.s.")
             continue
@@ -229,7 +229,9 @@ def trie_join(strings: DataFrame) -> DataFrame:
 
     strings: (grp, text, k, queries), text unique in its group; a string that doesn't query is only found. Two strings
     are compared under the smaller of their bounds; with a bound of 0 only equal strings would match, so none do.
-    Large shards are split into blocks of index strings and of queries, so no task holds an unbounded shard.
+    Large shards are split into blocks of index strings and of queries, so no task holds an unbounded shard. A shard is
+    left out only if its one index string is also the one that queries it. Sides: 0 index string, 1 query that the
+    shard has as an index string too, 2 query that it hasn't.
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,16 +239,16 @@ def trie_join(strings: DataFrame) -> DataFrame:
             rows = []
             for g, t, k, queries in zip(pdf.grp, pdf.text, pdf.k, pdf.queries, strict=True):
                 for b in range(1, k + 1):
-                    rows += [(f"{g}|{s}", 0, t, k) for s in shard_keys(t, b, False)]
+                    own = shard_keys(t, b, False)
+                    rows += [(f"{len(g)}|{g}{s}", 0, t, k) for s in own]
                     if queries:
-                        rows += [(f"{g}|{s}", 1, t, k) for s in shard_keys(t, b, True)]
+                        rows += [(f"{len(g)}|{g}{s}", 1 if s in own else 2, t, k) for s in shard_keys(t, b, True)]
             yield pd.DataFrame(rows, columns=["shard", "side", "text", "k"])
 
     rows = strings.where("k > 0").mapInPandas(emit, "shard string, side int, text string, k int")
-    sizes = rows.groupBy("shard").agg(
-        F.ceil(F.sum((F.col("side") == 0).cast("long")) / BLOCK).cast("int").alias("ni"), F.ceil(F.sum((F.col("side") == 1).cast("long")) / BLOCK).cast("int").alias("nq"),
-        F.count(F.lit(1)).alias("n"),
-    ).where("ni > 0 and nq > 0 and n > 2").drop("n")
+    count = lambda c: F.sum(c.cast("long"))
+    sizes = rows.groupBy("shard").agg(count(F.col("side") == 0).alias("index"), count(F.col("side") > 0).alias("query"), count(F.col("side") == 2).alias("other")).where("index > 0 and query > 0 and (index > 1 or other > 0)")
+    sizes = sizes.select("shard", F.ceil(F.col("index") / BLOCK).cast("int").alias("ni"), F.ceil(F.col("query") / BLOCK).cast("int").alias("nq"))
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     mine = F.when(F.col("side") == 0, F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: F.struct((h % F.col("ni")).cast("int").alias("ib"), q.alias("qb")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.struct(i.alias("ib"), (h % F.col("nq")).cast("int").alias("qb")))
@@ -261,8 +263,8 @@ def trie_join(strings: DataFrame) -> DataFrame:
             for shard, ib, qb, side, text, k in zip(pdf.shard, pdf.ib, pdf.qb, pdf.side, pdf.text, pdf.k, strict=True):
                 if (shard, ib, qb) != run:
                     run, trie, bounds = (shard, ib, qb), Trie(), {}
-                    grp, _, rest = shard.rpartition("|")
-                    level = int(rest.split(".", 1)[0])
+                    size, _, rest = shard.partition("|")
+                    grp, level = rest[: int(size)], int(rest[int(size) :].split(".", 1)[0])
                 if side == 0:
                     trie.add(text)
                     bounds[text] = k
