@@ -161,6 +161,20 @@ def test_pairs_of_a_large_company_are_split(spark):
     assert names.spelling_pairs(df, block=20).distinct().count() == names.spelling_pairs(df, block=20).count() == 90 * 89 // 2
 
 
+def test_plans_stay_small(spark, monkeypatch):
+    """What is handed on is read several times, so it must not hold the plan of the links; a round has one join on both sides of another."""
+    plans = []
+    keep = names.checkpoint
+    monkeypatch.setattr(names, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or keep(df))
+    linked = names.link_names(spark.createDataFrame([("Zorvanix Trading",), ("Zorvanixx Trading",)], "name string"), "name")
+    assert names.spelling_pairs(linked)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    plans.clear()
+    nodes = spark.range(40).selectExpr("format_string('%02d', id) as node")
+    chain = nodes.selectExpr("node as a", "format_string('%02d', int(node) + 1) as b").where("b < '40' and b <> '20'")
+    assert {r.node: r.comp for r in names.components(chain, nodes).collect()} == {f"{i:02d}": "00" if i < 20 else "20" for i in range(40)}
+    assert max(plans) <= 3 and len(plans) <= 9
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y")], "a string, b string")
     nodes = spark.createDataFrame([(c,) for c in "abcdexyz"], "node string")

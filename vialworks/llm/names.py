@@ -279,23 +279,24 @@ def trie_join(strings: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, comp): the least node of the component of every node. edges: (a, b); nodes: (node).
+    """(node, comp): the least node of the component of every node. edges: (a, b); nodes: (node), with all ends of edges.
 
     Least labels travel along the edges and jump to their labels' labels, so the rounds grow with the logarithm of
     the longest path; each round is cut off by a reliable checkpoint. It ends when a round changes no label, which it
-    must, as labels only fall.
+    must, as labels only fall. Every node is a neighbour of itself, so a round is the join of edges and labels, reduced,
+    on both sides of another join; the first needs only the latter. Plans cost the driver memory, so they are kept small.
     """
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = nodes.select("node", F.col("node").alias("comp"))
+    own = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).union(own).distinct())
+    met = both.withColumn("comp", F.col("b"))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", F.least("comp", F.coalesce("near", "comp")).alias("next"), "comp")
+        step = met.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("next"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("comp"))
         roots = step.select(F.col("node").alias("__n"), F.col("next").alias("__c"))
-        step = step.join(roots, step.next == F.col("__n")).select("node", F.least("next", "__c").alias("next"), "comp")
-        step = checkpoint(step)
+        step = checkpoint(step.join(roots, step.next == F.col("__n")).select("node", F.least("next", "__c").alias("next"), "comp"))
         labels = step.select("node", F.col("next").alias("comp"))
         if step.where("next <> comp").limit(1).isEmpty():
             return labels
+        met = both.join(labels, both.b == labels.node).select("a", "b", "comp")
 
 
 _WORDS = T.StructType([T.StructField("trade", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
@@ -372,10 +373,10 @@ def link_names(names: DataFrame, name: str, witness: str | None = None, min_rest
     # within a trade; names without one also look among the names of all trades
     by_text = texts.select(F.concat("space", F.lit(":"), "trade").alias("grp"), "text", "node", "k", F.lit(True).alias("queries"))
     across = texts.select(F.concat("space", F.lit("*")).alias("grp"), "text", "node", "k", (F.col("trade") == "").alias("queries"))
-    strings = by_text.unionByName(across).groupBy("grp", "text").agg(F.max("k").alias("own"), F.max("queries").alias("queries"), F.min("node").alias("first"), F.max("node").alias("last"))
-    near = checkpoint(trie_join(strings.select("grp", "text", F.greatest("own", F.lit(1)).alias("k"), "queries")))
+    strings = checkpoint(by_text.unionByName(across).groupBy("grp", "text").agg(F.max("k").alias("own"), F.max("queries").alias("queries")))
+    near = trie_join(strings.select("grp", "text", F.greatest("own", F.lit(1)).alias("k"), "queries"))
     bounds = strings.select("grp", "text", F.col("own") == 0)
-    weak = bounds.toDF("grp", "a", "wa").join(near, ["grp", "a"]).join(bounds.toDF("grp", "b", "wb"), ["grp", "b"]).withColumn("weak", F.col("wa") | F.col("wb"))
+    weak = checkpoint(bounds.toDF("grp", "a", "wa").join(near, ["grp", "a"]).join(bounds.toDF("grp", "b", "wb"), ["grp", "b"]).select("grp", "a", "b", (F.col("wa") | F.col("wb")).alias("weak")))
     within = by_text.select("grp", "text", "node").distinct()
     pairs = checkpoint(
         weak.where(~F.substring("grp", 2, 1).eqNullSafe("*")).join(within.toDF("grp", "a", "na"), ["grp", "a"]).join(within.toDF("grp", "b", "nb"), ["grp", "b"])
@@ -396,7 +397,7 @@ def link_names(names: DataFrame, name: str, witness: str | None = None, min_rest
     ends = ends.select("grp", F.col("a").alias("t"), F.col("b").alias("text")).unionByName(ends.select("grp", F.col("b").alias("t"), F.col("a").alias("text"))).unionByName(bare.select("grp", "t", F.col("t").alias("text")).distinct())
     hits = ends.join(bare, ["grp", "t"]).join(full, ["grp", "text"]).select("bare", F.col("node").alias("full")).distinct()
     owner = lambda a, b: comp.select(F.col("node").alias(a), F.col("comp").alias(b))
-    met = hits.join(owner("bare", "of"), "bare").join(owner("full", "target"), "full").groupBy("of").agg(F.min("target").alias("lo"), F.max("target").alias("hi")).where("lo = hi").select("of", F.col("lo").alias("to"))
+    met = checkpoint(hits.join(owner("bare", "of"), "bare").join(owner("full", "target"), "full").groupBy("of").agg(F.min("target").alias("lo"), F.max("target").alias("hi")).where("lo = hi").select("of", F.col("lo").alias("to")))
 
     # abbreviations: the first two syllables, or a beginning, of one company of the trade only
     heads = keyed.where("head is not null and trade <> ''").select("trade", F.col("head").alias("roman"), F.col("node").alias("full")).distinct()
@@ -406,7 +407,7 @@ def link_names(names: DataFrame, name: str, witness: str | None = None, min_rest
     loose = short.join(exact.select("node").distinct(), "node", "left_anti").join(stems, ["trade", "roman"]).where("node <> full").select("node", "full")
     abbreviated = exact.unionByName(loose).join(owner("full", "target"), "full").groupBy("node").agg(F.min("target").alias("lo"), F.max("target").alias("hi")).where("lo = hi").select("node", F.col("lo").alias("short_for"))
     final = comp.join(met, F.col("comp") == F.col("of"), "left").join(abbreviated, "node", "left").select("node", F.coalesce("short_for", "to", "comp").alias("company"))
-    return keyed.join(final, "node").select("name", "company")
+    return checkpoint(keyed.join(final, "node").select("name", "company"))  # read several times; each would repeat this plan
 
 
 def spelling_pairs(linked: DataFrame, block: int = 1_000) -> DataFrame:
