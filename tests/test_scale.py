@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vialworks.plans import relations
+from vialworks.plans import relations, rules
 
 
 def written(spark):
@@ -31,3 +31,11 @@ def test_manual_map_counts_a_hot_key_once(spark, tmp_path):
     got = {r.row_no: (r.file, r.files) for r in relations.jon14_manual_map(spark, str(tmp_path)).collect()}
     assert got == want
     assert written(spark) - before < 1_500_000
+
+
+def test_pictograms_split_each_text_once(spark, tmp_path):
+    texts = ["급성 독성 : 구분 4; H-225", "급성독성, 구분4", "급성독성,구분4", "인화성 액체/구분2", "인화성 액체 (구분 2)\n고압 가스", "h2000", "분류되지 않음 H225", ";;", "", None, "구분1 산화성；h41　0", "H 314 눈 손상성:구분 1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = rules.rul1_inferred_pictograms(spark, str(tmp_path))
+    assert {r.doc_id: r.codes for r in df.collect()} == {0: "GHS02,GHS07", 1: "", 2: "GHS07", 3: "", 4: "GHS02,GHS04", 5: "GHS01", 6: "", 7: "", 8: "", 10: "GHS03,GHS09", 11: "GHS05"}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 4

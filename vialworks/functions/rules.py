@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from os.path import commonprefix
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -179,19 +181,39 @@ def precaution_group(codes: Column, key: Column) -> Column:
     return reduce(lambda acc, x: acc.when(F.array_contains(digits, x[0]), F.lit(x[1])), [("4", "storage"), ("5", "disposal"), ("3", "response"), ("2", "prevention")], by_word).otherwise("")
 
 
-def inferred_pictograms(c: Column) -> Column:
+def classification_parts(c: Column) -> Column:
+    """The parts of a classification text in lower case, without blanks and marks, joined by ';'."""
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\n;；/]|,\s", ";"), " \t\x0b\f\r\n\u3000\xa0()[]·ㆍ:：-_,./", "")
+
+
+def categories(parts: Column) -> Column:
+    """Of classification_parts, those that can name a category."""
+    stem = commonprefix([w for rs in CLASSES.values() for ns, cs in rs if ns for w in cs])
+    return F.filter(F.split(parts, ";"), lambda x: F.contains(x, F.lit(stem)))
+
+
+def hazard_codes(parts: Column) -> Column:
+    """The hazard codes in classification_parts."""
+    return F.regexp_extract_all(parts, F.lit("h[0-9]{3}"), F.lit(0))
+
+
+def inferred_pictograms(key: Column, parts: Column, named: Column, codes: Column) -> Column:
     """Pictograms that a classification text asks for: a class and its category in one part, or a code anywhere. Empty
-    where the text says there's no label element."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n;；/]|,\s"), lambda x: F.regexp_replace(squeezed(x), r"[()\[\]·ㆍ:：\-_,./]", "")), lambda x: x != "")
-    whole = F.array_join(parts, " ")
+    where the text says there's no label element. The columns are search_key, classification_parts, categories and
+    hazard_codes of the text; they stand many times in the result, so they should be columns of their own."""
 
     def both(ns: list[str], cs: list[str]):
         return lambda s: holds(s, ns) & holds(s, cs)
 
+    def anywhere(ws: list[str]) -> list[Column]:
+        coded = [w for w in ws if re.fullmatch("h[0-9]{3}", w)]
+        words = [w for w in ws if w not in coded]
+        return ([F.arrays_overlap(codes, F.array(*[F.lit(w) for w in coded]))] if coded else []) + ([holds(parts, words)] if words else [])
+
     def wanted(rules: list[tuple[list[str], list[str]]]) -> Column:
-        return reduce(lambda a, b: a | b, [F.exists(parts, both(ns, cs)) if ns else holds(whole, cs) for ns, cs in rules])
+        return reduce(lambda a, b: a | b, [x for ns, cs in rules for x in ([F.exists(named, both(ns, cs))] if ns else anywhere(cs))])
 
-    return F.when(no_label_element(c), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(wanted(r), F.lit(g)) for g, r in CLASSES.items()])))
+    return F.when(holds(key, NO_LABEL), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(wanted(r), F.lit(g)) for g, r in CLASSES.items()])))
 
 
 def cautions(key: Column) -> Column:

@@ -95,7 +95,9 @@ _WANT = lambda rs: "(" + " or ".join(f"len(list_filter(parts, lambda x: {_HAS('x
   from (select doc_id, {_SEARCH('t')} as k, {_PART} as parts from (select doc_id, text as t from documents where text is not null))""")
 def rul1_inferred_pictograms(spark: SparkSession, d: str) -> DataFrame:
     """Pictograms inferred from class, category and codes in a document's text."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(rules.inferred_pictograms(F.col("text")), ",").alias("codes"))
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", keys.search_key(F.col("text")).alias("key"), rules.classification_parts(F.col("text")).alias("parts"))
+    t = t.select("*", rules.categories(F.col("parts")).alias("named"), rules.hazard_codes(F.col("parts")).alias("found"))
+    return t.select("doc_id", F.array_join(rules.inferred_pictograms(F.col("key"), F.col("parts"), F.col("named"), F.col("found")), ",").alias("codes"))
 
 
 @query(f"""select row_no, list_contains(ws, coalesce(k, '')) as no_label from (select row_no, {_HAS(_SEARCH('signalWord'), rules.NO_LABEL)} as k2, {_SEARCH('signalWord')} as k, ['해당없음'] as ws from msds_sample) where false
